@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scalars"]
+MODULES = ["scalars", "recognition", "sections"]
 
 
 def load_all():

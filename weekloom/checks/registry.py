@@ -19,3 +19,16 @@ def check(name: str, oracle: str | None = None):
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def once(fn):
+    """Keep a staged result per session and folder, for queries that start from the same one."""
+    kept = {}
+
+    def staged(spark, sf):
+        key = (spark.sparkContext.applicationId, sf)
+        if key not in kept:
+            kept[key] = fn(spark, sf)
+        return kept[key]
+
+    return staged

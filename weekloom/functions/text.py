@@ -5,6 +5,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # every character Unicode calls white space, usable inside [...]
 SPACE = (r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -13,17 +14,17 @@ WORD = r"\p{L}\p{N}_"
 ASCII = r"\A[\x00-\x7F]*\z"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _casefold(values: pd.Series) -> pd.Series:
     return values.map(str.casefold, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc_casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v).casefold(), na_action="ignore")
 
@@ -42,6 +43,10 @@ def casefold(col: Column) -> Column:
     return _beyond_ascii(col, _casefold, F.lower(col))
 
 
+def nfkc_casefold(col: Column) -> Column:
+    return _beyond_ascii(col, _nfkc_casefold, F.lower(col))
+
+
 def squeeze(col: Column) -> Column:
     return F.regexp_replace(col, f"[{SPACE}]+", " ")
 
@@ -55,13 +60,12 @@ def is_blank(col: Column) -> Column:
 
 
 def normalize_text(col: Column) -> Column:
-    folded = _beyond_ascii(col, _nfkc_casefold, F.lower(col))
-    return F.coalesce(strip(squeeze(folded)), F.lit(""))
+    return F.coalesce(strip(squeeze(nfkc_casefold(col))), F.lit(""))
 
 
 def normalize_header(col: Column) -> Column:
-    folded = _beyond_ascii(col, _nfkc_casefold, F.lower(col))
-    return F.coalesce(strip(squeeze(F.regexp_replace(folded, r"\x{feff}", ""))), F.lit(""))
+    bare = F.regexp_replace(nfkc_casefold(col), r"\x{feff}", "")
+    return F.coalesce(strip(squeeze(bare)), F.lit(""))
 
 
 def clean_keyword(col: Column) -> Column:
