@@ -84,8 +84,10 @@ def header_rows(raw: DataFrame) -> DataFrame:
                       & (F.size(F.filter("cells", lambda c: ~blank_cell(c))) >= 2))
     probe = probe.withColumn("line", header_line(F.transform("cells", lambda c: c["s"])))
     probe = probe.withColumn("kinds", matched_kinds(F.col("line")))
-    found = probe.where(F.size("kinds") == 1).groupBy(*SHEET).agg(
-        F.min_by(F.struct("row_no", "kinds", "cells", "line"), "row_no").alias("h"))
+    # chosen inside the aggregate: a filter here would be pushed below and search each row twice
+    found = probe.groupBy(*SHEET).agg(F.min_by(
+        F.struct("row_no", "kinds", "cells", "line"),
+        F.when(F.size("kinds") == 1, F.col("row_no"))).alias("h")).where("h is not null")
     return found.select(*SHEET, F.col("h.row_no").alias("header_row"),
                         F.col("h.kinds")[0].alias("kind"),
                         F.col("h.cells").alias("header_cells"),
