@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scalars", "recognition", "sections"]
+MODULES = ["scalars", "recognition", "sections", "rule_checks"]
 
 
 def load_all():

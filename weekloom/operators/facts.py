@@ -22,42 +22,44 @@ def typed(rows: DataFrame, section: str, keep: list[str] | None = None,
           vendor: str | None = None) -> DataFrame:
     """Parse the section's fields; ``bad_fields`` names those that do not parse.
 
-    Numbers are parsed in a first step and rounded to integers in a second, so that each
-    cell is parsed once.
+    Numbers are parsed over one array of cells and rounded to integers in a second step, so
+    that each cell is parsed once.
     """
     keep = keep or []
     fields = fixed.SECTION_FIELDS[section]
-    cells = {name: cell_of(header, vendor) for name, (header, _) in fields.items()}
+    numeric = [n for n, (_, kind) in fields.items()
+               if kind not in ("text", "keyword", "date")]
     first = []
-    for name, (_, kind) in fields.items():
-        text = cells[name]["s"]
+    for name, (header, kind) in fields.items():
+        text = cell_of(header, vendor)["s"]
         if kind == "text":
             first.append(strip(text).alias(name))
         elif kind == "keyword":
             first.append(clean_keyword(text).alias(name))
         elif kind == "date":
             first.append(parse_date(text).alias(name))
-        else:
-            first.append(parse_number(text, cells[name]["t"]).alias(name))
-        if kind == "optional_integer":
-            first.append((cells[name].isNotNull() & is_blank(text)).alias(f"_{name}_blank"))
-    df = rows.select(*ROW, *keep, *first)
+    cells = F.array(*[cell_of(fields[n][0], vendor) for n in numeric])
+    df = rows.select(*ROW, *keep, *first, cells.alias("_cells"))
+    df = df.withColumn("_numbers", F.transform("_cells", lambda c: parse_number(c["s"], c["t"])))
     second, bad = [], []
     for name, (_, kind) in fields.items():
-        col = F.col(name)
-        if kind in ("integer", "optional_integer"):
-            col = to_integer(col)
-        elif kind == "hundredfold":
-            col = col * 100.0
-        second.append(col.alias(name))
         missing = F.col(name).isNull()
-        if kind == "optional_integer":
-            missing = missing & ~F.col(f"_{name}_blank")
-        bad.append((name, missing))
-    blanks = [f"_{n}_blank" for n, (_, k) in fields.items() if k == "optional_integer"]
-    df = df.select(*ROW, *keep, *second, *blanks)
-    listed = F.array(*[F.when(cond, F.lit(name)) for name, cond in bad])
-    return df.withColumn("bad_fields", F.filter(listed, lambda b: b.isNotNull())).drop(*blanks)
+        if name in numeric:
+            at = numeric.index(name)
+            col = F.col("_numbers")[at]
+            if kind in ("integer", "optional_integer"):
+                col = to_integer(col)
+            elif kind == "hundredfold":
+                col = col * 100.0
+            if kind == "optional_integer":
+                cell = F.col("_cells")[at]
+                missing = missing & ~(cell.isNotNull() & is_blank(cell["s"]))
+            second.append(col.alias(name))
+        else:
+            second.append(F.col(name))
+        bad.append(F.when(missing, F.lit(name)))
+    df = df.select(*ROW, *keep, *second, "_cells")
+    return df.withColumn("bad_fields", F.array_compact(F.array(*bad))).drop("_cells")
 
 
 def bad_values(facts: DataFrame, section: str) -> DataFrame:
@@ -271,25 +273,29 @@ def keyword_issues(rows: DataFrame, top: DataFrame, bundles: DataFrame,
 
 
 def build_facts(found: dict[str, DataFrame], profiles: DataFrame) -> dict[str, DataFrame]:
-    """All eight sections and their issues from recognised rows."""
-    rows, tables = found["rows"], found["tables"]
-    products = dim_product(profiles)
-    bundles = found["per_kind"].select(*KEY).distinct()
-    f = {"overall": overall(rows, tables), "daily": daily(rows),
-         "summary": summary(rows, profiles, products),
-         "campaign": campaign(rows, profiles, products),
-         "creative": creative(rows, profiles, products),
-         "traffic": traffic(rows, profiles), "audience": audience(rows, profiles),
-         "keywords": keywords(rows, profiles)}
-    problems = [found["issues"], overall_issues(f["overall"], bundles),
-                bad_values(f["daily"], "by_day"), creative_issues(f["creative"], bundles, products),
-                keyword_issues(rows, f["keywords"], bundles, profiles)]
-    for section in ("summary", "campaign", "traffic", "audience"):
-        problems.append(bad_values(f[section], section))
-        problems.append(cover_issues(f[section], bundles, products, section))
-    issues = problems[0]
-    for more in problems[1:]:
-        issues = issues.unionByName(more)
-    return {**f, "issues": issues.select(*KEY, *FIELDS)}
+    """All eight sections from recognised rows."""
+    rows, products = found["rows"], dim_product(profiles)
+    return {"overall": overall(rows, found["tables"]), "daily": daily(rows),
+            "summary": summary(rows, profiles, products),
+            "campaign": campaign(rows, profiles, products),
+            "creative": creative(rows, profiles, products),
+            "traffic": traffic(rows, profiles), "audience": audience(rows, profiles),
+            "keywords": keywords(rows, profiles)}
 
 
+def reading_issues(found: dict[str, DataFrame], facts: dict[str, DataFrame],
+                   profiles: DataFrame) -> DataFrame:
+    """What went wrong between raw rows and facts. Pass facts that are already written."""
+    bundles = found["per_kind"].select(*KEY).distinct()
+    products = dim_product(profiles)
+    parts = [found["issues"], overall_issues(facts["overall"], bundles),
+             bad_values(facts["daily"], "by_day"),
+             creative_issues(facts["creative"], bundles, products),
+             keyword_issues(found["rows"], facts["keywords"], bundles, profiles)]
+    for section in ("summary", "campaign", "traffic", "audience"):
+        parts.append(bad_values(facts[section], section))
+        parts.append(cover_issues(facts[section], bundles, products, section))
+    issues = parts[0]
+    for part in parts[1:]:
+        issues = issues.unionByName(part)
+    return issues.select(*KEY, *FIELDS)
