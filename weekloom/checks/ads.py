@@ -25,14 +25,14 @@ base as (
          count(*) filter (event_type = 'click') as clicks,
          count(*) filter (event_type = 'view') as views,
          count(*) filter (event_type = 'signup') as adds,
-         count(*) filter (event_type = 'signup' and cents <= 30000) as adds_lo,
+         count(*) filter (event_type = 'signup' and cents <= 10000) as adds_lo,
          count(*) filter (event_type = 'purchase') as purch,
-         count(*) filter (event_type = 'purchase' and cents <= 30000) as purch_lo,
+         count(*) filter (event_type = 'purchase' and cents <= 10000) as purch_lo,
          coalesce(sum(cents) filter (event_type in ('view', 'click')), 0) as spend,
-         coalesce(sum(cents) filter (event_type in ('view', 'click') and cents <= 30000), 0)
+         coalesce(sum(cents) filter (event_type in ('view', 'click') and cents <= 10000), 0)
            as spend_lo,
          coalesce(sum(cents) filter (event_type = 'purchase'), 0) as val,
-         coalesce(sum(cents) filter (event_type = 'purchase' and cents <= 30000), 0) as val_lo
+         coalesce(sum(cents) filter (event_type = 'purchase' and cents <= 10000), 0) as val_lo
   from e group by all),
 b as (
   select *, (m + w) % 8 as fault, 'M' || m as market, period_start + interval 6 day as pe
@@ -214,7 +214,7 @@ def base(spark, sf):
     """The one pass over events; everything else re-aggregates this small cube."""
     kind = F.col("event_type")
     cents = F.round(F.col("value") * 100).cast("bigint")
-    low = cents <= 30000
+    low = cents <= 10000
     paid = kind.isin("view", "click")
     total = lambda cond: F.coalesce(F.sum(F.when(cond, cents)), F.lit(0))
     start = F.to_date(F.date_trunc("week", "ts"))

@@ -397,7 +397,13 @@ def all_issues(spark, sf):
 
 
 CLEAN = """
-clean as (select * from overall_x o where fault in (3, 4, 5) and not (m = 1 and w = 2)
+drifted as (
+  select distinct bundle_id from keyed where fault in (0, 1, 2)
+  and ((spend_lo <> spend and (fault < 2 or flow = 'conversion'))
+       or (flow = 'conversion'
+           and (adds_lo <> adds or purch_lo <> purch or val_lo <> val)))),
+clean as (select * from overall_x o where fault < 6 and not (m = 1 and w = 2)
+          and bundle_id not in (select bundle_id from drifted)
           and (select count(*) from daily_x d where d.bundle_id = o.bundle_id) = 7)
 """
 
