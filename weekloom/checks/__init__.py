@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scalars", "recognition", "sections", "rule_checks", "wow_checks"]
+MODULES = ["scalars", "recognition", "sections", "rule_checks", "wow_checks", "guard_checks"]
 
 
 def load_all():
