@@ -2,7 +2,8 @@
 
 import importlib
 
-MODULES = ["scalars", "recognition", "sections", "rule_checks", "wow_checks", "guard_checks"]
+MODULES = ["scalars", "recognition", "sections", "rule_checks", "wow_checks", "guard_checks",
+           "catalog_check_queries", "output_checks"]
 
 
 def load_all():

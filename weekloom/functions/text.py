@@ -112,5 +112,6 @@ def zoned_timestamp(col: Column) -> Column:
     shape = (r"\A\d{4}-\d{2}-\d{2}[T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?"
              r"(Z|[+-]\d{2}:?\d{2})\z")
     full = F.regexp_replace(text, r"\A(.{13})(Z|[+-])", "$1:00$2")
+    full = F.regexp_replace(full, r"\A(.{16})(Z|[+-])", "$1:00$2")
     full = F.regexp_replace(full, r"([+-]\d{2})(\d{2})\z", "$1:$2")
     return F.when(text.rlike(shape), full.try_cast("timestamp"))
