@@ -21,14 +21,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+KEPT: dict[tuple, object] = {}
+
+
 def once(fn):
     """Keep a staged result per session and folder, for queries that start from the same one."""
-    kept = {}
-
     def staged(spark, sf):
-        key = (spark.sparkContext.applicationId, sf)
-        if key not in kept:
-            kept[key] = fn(spark, sf)
-        return kept[key]
+        key = (fn.__module__, fn.__name__, spark.sparkContext.applicationId, sf)
+        if key not in KEPT:
+            KEPT[key] = fn(spark, sf)
+        return KEPT[key]
 
     return staged
+
+
+def forget():
+    """Drop all staged results, so that the next query starts from the tables."""
+    KEPT.clear()

@@ -248,7 +248,8 @@ def keywords(rows: DataFrame, profiles: DataFrame) -> DataFrame:
         *ROW, "values", parse_number(value("Conversions")["s"], value("Conversions")["t"])
         .alias("_conversions"))
     window = W.partitionBy(*KEY).orderBy(F.col("_conversions").desc(), "row_no")
-    best = words.withColumn("rank", F.row_number().over(window)).where("rank <= 100")
+    best = words.withColumn("rank", F.row_number().over(window).cast("bigint")).where(
+        "rank <= 100")
     best = best.join(profiles.select("market", "keyword_top_n"), "market").where(
         "rank <= keyword_top_n")
     return typed(best, "keywords", ["rank"])

@@ -37,18 +37,20 @@ def _schema(files: DataFrame, carried: list[str], added: str) -> str:
 
 def _decode_rows(files, carried, decode, added, columns):
     """Run ``decode(content)`` per file, yielding tuples, and send them on in batches."""
+    names = [*carried, *columns]
+
     def run(batches):
+        rows = []
         for batch in batches:
             for record in batch.itertuples(index=False):
                 keys = [getattr(record, c) for c in carried]
-                rows = []
                 for row in decode(record.content):
                     rows.append((*keys, *row))
                     if len(rows) >= BATCH:
-                        yield pd.DataFrame(rows, columns=[*carried, *columns])
+                        yield pd.DataFrame(rows, columns=names)
                         rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=[*carried, *columns])
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return files.select(*carried, "content").mapInPandas(run, _schema(files, carried, added))
 
