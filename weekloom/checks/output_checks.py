@@ -22,7 +22,7 @@ from weekloom.sources import readers as R
 @check("read_delimited", """
 with o as (select o_orderkey as k, cast(cast(o_totalprice as decimal(18,2)) as varchar) as price
            from orders)
-select k, 1 as row_no, 'Keyword|Conversions' as cells, false as failed from o where k % 50 <> 7
+select k, cast(1 as bigint) as row_no, 'Keyword|Conversions' as cells, false as failed from o where k % 50 <> 7
 union all
 select k, 2, 'a, "k' || k || '"' || chr(10) || 'b|' || price, false from o where k % 50 <> 7
 union all

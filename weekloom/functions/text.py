@@ -10,6 +10,10 @@ from pyspark.sql.types import StringType
 # every character Unicode calls white space, usable inside [...]
 SPACE = (r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
          r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+ASCII_SPACE = r" \t-\r\x1c-\x1f"
+SPACE_CHARACTERS = "".join(chr(c) for c in [
+    *range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+    0x202F, 0x205F, 0x3000])
 WORD = r"\p{L}\p{N}_"
 ASCII = r"\A[\x00-\x7F]*\z"
 
@@ -29,6 +33,18 @@ def _nfkc_casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v).casefold(), na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def _normalized(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: " ".join(unicodedata.normalize("NFKC", v).split()).casefold(),
+                      na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def _normalized_header(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: " ".join(unicodedata.normalize("NFKC", v).replace(
+        "\ufeff", "").split()).casefold(), na_action="ignore")
+
+
 def _beyond_ascii(col: Column, udf, ascii_form: Column) -> Column:
     """Ship only non-ASCII values to Python; ASCII rows travel as nulls."""
     plain = col.rlike(ASCII)
@@ -52,20 +68,23 @@ def squeeze(col: Column) -> Column:
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.trim(col, F.lit(SPACE_CHARACTERS))
 
 
 def is_blank(col: Column) -> Column:
     return col.isNull() | ~col.rlike(f"[^{SPACE}]")
 
 
+def _ascii_form(col: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(col), f"[{ASCII_SPACE}]+", " "))
+
+
 def normalize_text(col: Column) -> Column:
-    return F.coalesce(strip(squeeze(nfkc_casefold(col))), F.lit(""))
+    return F.coalesce(_beyond_ascii(col, _normalized, _ascii_form(col)), F.lit(""))
 
 
 def normalize_header(col: Column) -> Column:
-    bare = F.regexp_replace(nfkc_casefold(col), r"\x{feff}", "")
-    return F.coalesce(strip(squeeze(bare)), F.lit(""))
+    return F.coalesce(_beyond_ascii(col, _normalized_header, _ascii_form(col)), F.lit(""))
 
 
 def clean_keyword(col: Column) -> Column:

@@ -35,7 +35,7 @@ def mapping_sample(lineage: DataFrame) -> DataFrame:
     overall = F.row_number().over(W.partitionBy(*KEY).orderBy("section", "n"))
     return (rows.withColumn("section", group).withColumn("n", inside)
             .where(F.col("n") <= fixed.MAPPINGS_PER_GROUP)
-            .withColumn("place", overall).where(F.col("place") <= fixed.MAPPINGS_TOTAL)
+            .withColumn("place", overall.cast("bigint")).where(F.col("place") <= fixed.MAPPINGS_TOTAL)
             .drop("n"))
 
 

@@ -346,7 +346,7 @@ def pair_candidates(bundles: DataFrame, decks: DataFrame) -> DataFrame:
         c("hit") + c("named") + F.when(c("folder") == c("own_folder"), 20).otherwise(0))
         .alias("score"))
     best = W.partitionBy("market", "bundle_id").orderBy(c("score").desc(), "deck_id")
-    ranked = scored.withColumns({"place": F.row_number().over(best),
+    ranked = scored.withColumns({"place": F.row_number().over(best).cast("bigint"),
                                  "runner_up": F.lead("score").over(best)})
     auto = ((c("place") == 1) & (c("score") >= 100)
             & (c("runner_up").isNull() | (c("score") > c("runner_up"))))

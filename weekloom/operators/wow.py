@@ -169,7 +169,8 @@ ORDER = ["o1", "o2", "o3", "o4", "o5"]
 
 def ranked(facts: DataFrame) -> DataFrame:
     best_first = W.partitionBy(*KEY).orderBy(*ORDER)
-    return with_order(facts).withColumn("position", F.row_number().over(best_first))
+    return with_order(facts).withColumn(
+        "position", F.row_number().over(best_first).cast("bigint"))
 
 
 def candidates(facts: DataFrame) -> DataFrame:
@@ -195,7 +196,7 @@ def candidates(facts: DataFrame) -> DataFrame:
     # scope shares never exceed the cap; the best of the rest fill the free seats
     seat = F.row_number().over(W.partitionBy(*KEY).orderBy("filler", *ORDER))
     chosen = pool.withColumn("seat", seat).where(F.col("seat") <= cap)
-    return chosen.withColumn("position", place).drop("busy", "filler", "seat")
+    return chosen.withColumn("position", place.cast("bigint")).drop("busy", "filler", "seat")
 
 
 def safe_label(facts: DataFrame) -> DataFrame:
