@@ -1,8 +1,14 @@
 """Queries of the operators over whole tables, and SQL twins where SQL can express them."""
 
+from weekloom.llm.decontaminate import OP2_SQL, op2_decontaminate
+from weekloom.llm.language import op4_language
+from weekloom.llm.licenses import op3_licenses
 from weekloom.llm.packing import op5_packing
+from weekloom.llm.quality_model import op9_quality_fm
 from weekloom.llm.token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op5_packing, op7_token_counts)}
+QUERIES = {f.__name__: f for f in (
+    op2_decontaminate, op3_licenses, op4_language, op5_packing, op7_token_counts,
+    op9_quality_fm)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_decontaminate": OP2_SQL}
