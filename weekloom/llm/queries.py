@@ -3,12 +3,13 @@
 from weekloom.llm.decontaminate import OP2_SQL, op2_decontaminate
 from weekloom.llm.language import op4_language
 from weekloom.llm.licenses import op3_licenses
+from weekloom.llm.line_rules import OP10_SQL, op10_line_rules
 from weekloom.llm.packing import op5_packing
 from weekloom.llm.quality_model import op9_quality_fm
 from weekloom.llm.token_counts import op7_token_counts
 
 QUERIES = {f.__name__: f for f in (
     op2_decontaminate, op3_licenses, op4_language, op5_packing, op7_token_counts,
-    op9_quality_fm)}
+    op9_quality_fm, op10_line_rules)}
 
-ORACLES = {"op2_decontaminate": OP2_SQL}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op10_line_rules": OP10_SQL}
