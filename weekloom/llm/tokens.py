@@ -132,11 +132,11 @@ class IdStore:
 
     def plain(self, text: str) -> bytes:
         pieces = split_with(text)[0].findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
+        found = list(map(self.known.get, pieces))
+        if None in found:
             self.learn(pieces)
-        return b"".join(map(self.known.__getitem__, pieces))
+            found = map(self.known.__getitem__, pieces)
+        return b"".join(found)
 
     def ids(self, text: str) -> bytes:
         out, at = [], 0
@@ -167,7 +167,7 @@ class PrefixCounter:
     the bytes gives the count at every prefix. Units of text are counted once and kept as steps.
     """
 
-    LIMIT = 400_000
+    LIMIT = 700_000
 
     def __init__(self, path: str):
         self.library = load_tokenizer(path)
@@ -298,30 +298,33 @@ class PrefixCounter:
         return counts + [base + c for c in tail]
 
     def unit_steps(self, unit: str) -> bytes:
-        if unit[0] == " " and unit.isascii() and not unit[1:2].isspace() and len(unit) <= 200:
-            return self.prefix(unit.encode())[2]
+        if unit[0] == " " and len(unit) <= 50 and not SPACES.match(unit, 1)[0]:
+            data = unit.encode()
+            steps = self.prefix(data)[2]
+            if len(data) == len(unit):
+                return steps
+            # steps of the bytes of a character add up
+            starts = [k for k, b in enumerate(data) if b & 0xC0 != 0x80]
+            return np.add.reduceat(np.frombuffer(steps, "<i4"), starts, dtype="<i4").tobytes()
         counts = self.unit_counts(unit)
         return np.diff(np.array([0, *counts], "<i4")).tobytes()
 
     def plain(self, text: str) -> np.ndarray:
         """Counts at every prefix of a text without special tokens."""
         units = split_with(text)[1].findall(text)
-        try:
-            joined = b"".join(map(self.steps.__getitem__, units))
-        except KeyError:
+        parts = list(map(self.steps.get, units))
+        if None in parts:
             if len(self.steps) >= self.LIMIT:
                 self.steps.clear()
             if len(self.prefixes) >= 2 * self.LIMIT:
                 self.prefixes = {b"": (-1, 0, b"")}
-            parts = []
-            for unit in units:
-                steps = self.steps.get(unit)
+            for k, (unit, steps) in enumerate(zip(units, parts)):
                 if steps is None:
-                    steps = self.unit_steps(unit)
+                    steps = self.steps.get(unit) or self.unit_steps(unit)
                     if len(unit) <= 200:
                         self.steps[unit] = steps
-                parts.append(steps)
-            joined = b"".join(parts)
+                    parts[k] = steps
+        joined = b"".join(parts)
         return np.cumsum(np.frombuffer(joined, "<i4"), dtype=np.int64)
 
     def counts(self, text: str):
