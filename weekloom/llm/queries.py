@@ -1,6 +1,7 @@
 """Queries of the operators over whole tables, and SQL twins where SQL can express them."""
 
 from weekloom.llm.decontaminate import OP2_SQL, op2_decontaminate
+from weekloom.llm.kd_shards import op8_kd_shards
 from weekloom.llm.language import op4_language
 from weekloom.llm.licenses import op3_licenses
 from weekloom.llm.line_rules import OP10_SQL, op10_line_rules
@@ -11,6 +12,6 @@ from weekloom.llm.token_counts import op7_token_counts
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_decontaminate, op3_licenses, op4_language, op5_packing,
-    op7_token_counts, op9_quality_fm, op10_line_rules)}
+    op7_token_counts, op8_kd_shards, op9_quality_fm, op10_line_rules)}
 
 ORACLES = {"op2_decontaminate": OP2_SQL, "op10_line_rules": OP10_SQL}
