@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from weekloom.session import checkpoint_root
 
@@ -23,6 +24,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def schema_after(df: DataFrame, kept: list[str], more: str) -> StructType:
+    """Columns passed through as they are, then new ones."""
+    return StructType([StructField(c, df.schema[c].dataType) for c in kept]
+                      + StructType.fromDDL(more).fields)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows kept from learning: crc32 of the id's text leaves no remainder by five."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

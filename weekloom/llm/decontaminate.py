@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import documents
+from weekloom.llm.common import documents, schema_after
 from weekloom.llm.licenses import joined_words
 
 WIDTH = 5
@@ -161,10 +161,9 @@ def item_blocks(benchmark: DataFrame, size: int = ITEMS):
 def containment_pairs(docs: DataFrame, benchmark: DataFrame, at_least: float = CONTAINED,
                       width: int = WIDTH, block_items: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, n_shared, n_shingles, containment) of all documents and items."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     item_type = benchmark.schema["item_id"].dataType.simpleString()
-    schema = (f"doc_id {id_type}, item_id {item_type}, n_shared long, n_shingles long, "
-              "containment double")
+    schema = schema_after(docs, ["doc_id"], f"item_id {item_type}, n_shared long, "
+                          "n_shingles long, containment double")
     item_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]
 
     def search(items):

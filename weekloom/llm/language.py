@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import documents, held_out
+from weekloom.llm.common import documents, held_out, schema_after
 
 SAMPLE_DOCS = 96
 SAMPLE_CHARS = 1500
@@ -94,9 +94,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes],
                  pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                 ["doc_id", "lang_pred", "score", "rejected"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, schema_after(
+        docs, ["doc_id"], "lang_pred string, score double, rejected boolean"))
 
 
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes],

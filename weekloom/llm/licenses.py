@@ -14,7 +14,7 @@ at; an empty table gives an empty result.
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from weekloom.llm.common import documents
+from weekloom.llm.common import documents, schema_after
 
 #: notices searched word by word: phrase -> label
 BASE = {
@@ -125,10 +125,9 @@ def scan(docs: DataFrame) -> DataFrame:
                                            for f in FIELDS]],
                 ["doc_id", *[f.name for f in FIELDS]])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, "
-             f"base_labels string, labels string, score double, spans array<{SPAN}>")
+    return docs.select("doc_id", "text").mapInArrow(run, schema_after(
+        docs, ["doc_id"], "n_words long, n_base long, first_word long, last_word long, "
+        f"base_labels string, labels string, score double, spans array<{SPAN}>"))
 
 
 FIELDS = [

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import documents, held_out
+from weekloom.llm.common import documents, held_out, schema_after
 
 SAMPLE_ROWS = 6000
 WORD_SLOTS = 1 << 16
@@ -129,9 +129,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                  batch.column("quality").cast(pa.int32())],
                 ["doc_id", "slots", "x", "y"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = known.select("doc_id", "text", "quality").mapInArrow(
-        run, f"doc_id {kind}, slots array<long>, x array<double>, y int").toArrow()
+    rows = known.select("doc_id", "text", "quality").mapInArrow(run, schema_after(
+        docs, ["doc_id"], "slots array<long>, x array<double>, y int")).toArrow()
     order = sorted(range(rows.num_rows), key=lambda k: (rows["doc_id"][k].as_py(),
                                                         rows["y"][k].as_py()))[:sample_rows]
     data = [(rows["slots"][k].values.to_numpy(), rows["x"][k].values.to_numpy(),
@@ -154,8 +153,8 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
                 [batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))],
                 ["doc_id", "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(
+        run, schema_after(docs, ["doc_id"], "score double"))
 
 
 def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,13 @@ from weekloom.llm.licenses import op3_licenses
 from weekloom.llm.line_rules import OP10_SQL, op10_line_rules
 from weekloom.llm.packing import op5_packing
 from weekloom.llm.quality_model import op9_quality_fm
+from weekloom.llm.repeats import op6_suffix_dedup
 from weekloom.llm.simhash import op1_simhash
 from weekloom.llm.token_counts import op7_token_counts
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_decontaminate, op3_licenses, op4_language, op5_packing,
-    op7_token_counts, op8_kd_shards, op9_quality_fm, op10_line_rules)}
+    op6_suffix_dedup, op7_token_counts, op8_kd_shards, op9_quality_fm,
+    op10_line_rules)}
 
 ORACLES = {"op2_decontaminate": OP2_SQL, "op10_line_rules": OP10_SQL}

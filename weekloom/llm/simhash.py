@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import documents, stage, text_key
+from weekloom.llm.common import documents, schema_after, stage, text_key
 from weekloom.llm.components import components
 
 SHINGLE = 3
@@ -64,8 +64,7 @@ def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
                     [fingerprint(t.as_py()) for t in batch.column("text")], pa.int64())],
                 [*kept, "fp"])
 
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*kept, "text").mapInArrow(run, f"{kinds}, fp long")
+    return docs.select(*kept, "text").mapInArrow(run, schema_after(docs, kept, "fp long"))
 
 
 def segment_counts(fp: Column) -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import documents
+from weekloom.llm.common import documents, schema_after
 from weekloom.llm.tokens import PrefixCounter, vocabulary_path
 
 LIMIT = 1024
@@ -59,9 +59,8 @@ def prefix_table(docs: DataFrame, path: str | None = None, budget: int = LIMIT,
                  pa.array(rows["counts"], pa.binary())],
                 ["doc_id", "n_bytes", "n_tokens", "fits_chars", "counts"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, n_tokens long, fits_chars long, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, schema_after(
+        docs, ["doc_id"], "n_bytes long, n_tokens long, fits_chars long, counts binary"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
