@@ -157,7 +157,7 @@ def choose_bundle(spark, sf):
 @check("numeric_fingerprint", """
 with h as (
   select l_partkey as k, sha256(l_orderkey || '.' || l_linenumber || '='
-           || cast(cast(l_extendedprice as decimal(28,6)) as varchar)) as h
+           || cast(cast(l_extendedprice as double) as varchar)) as h
   from lineitem),
 s as (
   select k, count(*) as numeric_path_count,

@@ -409,6 +409,7 @@ DECK_MARKETS = ["FR", "IT", "UK", "AU"]
 # --- input limits -----------------------------------------------------------------------
 SOURCE_SUFFIXES = [".xlsx", ".csv", ".tsv"]
 MAX_CANDIDATE_FILES = 256
+KEYWORD_LIMIT = 100
 MAX_SOURCE_BYTES = 256 * 1024 * 1024
 HEADER_SCAN_ROWS = 20
 BLANK_TAIL_ROWS = 100

@@ -5,22 +5,20 @@ from pyspark.sql import functions as F
 
 from weekloom.functions.text import strip
 
-# finite by construction: at most 200 characters and a two-digit exponent
-DECIMAL_TEXT = (r"\A(?=.{1,200}\z)[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)"
-                r"([eE][+-]?\d{1,2})?\z")
+# possessive, so that texts of any length are read in one pass
+DIGITS = r"\d++(?:_\d++)*+"
+DECIMAL_TEXT = (rf"\A[+-]?(?:{DIGITS}\.?(?:{DIGITS})?|\.{DIGITS})(?:[eE][+-]?{DIGITS})?\z")
 
 
 def parse_number(text: Column, tag: Column | None = None) -> Column:
-    """Finite double, or null. Percent signs are dropped, parentheses negate.
-
-    Exponents of three digits and more are not accepted.
-    """
+    """Finite double, or null. Percent signs are dropped, parentheses negate."""
     if tag is not None:
         text = F.when(tag != "b", text)
     body = F.regexp_replace(strip(text), "[,%]", "")
     inner = F.regexp_replace(body, r"\A\(([\s\S]*)\)\z", "$1")
     digits = F.regexp_extract(strip(F.regexp_replace(inner, r"\A[$€£]", "")), DECIMAL_TEXT, 0)
     value = F.translate(digits, "_", "").try_cast("double")
+    value = F.when(F.abs(value) < float("inf"), value)
     return value * F.when(body.rlike(r"\A\([\s\S]*\)\z"), -1.0).otherwise(1.0)
 
 

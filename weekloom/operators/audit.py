@@ -12,10 +12,10 @@ def numeric_fingerprint(values: DataFrame, by: list[str]) -> DataFrame:
 
     Each pair is hashed on its own and four 60-bit slices are summed, so groups of any size
     combine before the shuffle and no list of pairs is ever built. Equal digests mean equal
-    multisets of pairs.
+    multisets of pairs. A value counts as the text of its exact double; both zeros are one value.
     """
-    pair = F.sha2(F.concat("path", F.lit("="), F.col("value").cast("decimal(28,6)")
-                           .cast("string")), 256)
+    exact = F.col("value").cast("double") + F.lit(0.0)
+    pair = F.sha2(F.concat("path", F.lit("="), exact.cast("string")), 256)
     rows = values.where("value is not null").select(*by, pair.alias("h"))
     slices = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)"))
               .cast("string").alias(f"s{i}") for i in range(4)]

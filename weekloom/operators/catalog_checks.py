@@ -221,15 +221,26 @@ def replay(samples: DataFrame) -> DataFrame:
     Rows carry ``sample_id, workflow_status, integrity_ok, source_ok, own_ok, previous_kind,
     previous_id``. Chains are walked by doubling: each round every sample learns the state of
     the chain twice as far back, so a chain of n weeks takes log2(n) joins on the sample id.
+    A link that does not lead to an earlier start of the same market (where the rows carry both)
+    fails; so does what is still linked when every acyclic chain has ended.
     """
     c = F.col
+    if {"market", "period_start"} <= set(samples.columns):
+        before = samples.select(c("sample_id").alias("previous_id"),
+                                c("market").alias("_market"), c("period_start").alias("_start"))
+        back = (c("_market") == c("market")) & (c("_start") < c("period_start"))
+        samples = samples.join(before, "previous_id", "left").withColumn(
+            "previous_id", F.when(F.coalesce(back, F.lit(False)), c("previous_id"))
+        ).drop("_market", "_start")
     runnable = c("workflow_status") == "runnable"
     known = F.coalesce(c("previous_kind").isin(fixed.PREVIOUS_KINDS), F.lit(False))
     good = c("integrity_ok") & runnable & c("source_ok") & known & c("own_ok")
     linked = good & (c("previous_kind") == "catalog_sample")
     state = cut(samples.select("sample_id", good.alias("ok"),
                                F.when(linked, F.coalesce("previous_id", F.lit(""))).alias("next")))
-    while not state.where("next is not null").isEmpty():
+    rounds = max(1, state.count()).bit_length() + 1
+    while rounds and not state.where("next is not null").isEmpty():
+        rounds -= 1
         ahead = state.select(c("sample_id").alias("next"), c("ok").alias("next_ok"),
                              c("next").alias("next_next"))
         state = cut(state.join(ahead, "next", "left").select(
@@ -237,6 +248,7 @@ def replay(samples: DataFrame) -> DataFrame:
             F.when(c("next").isNull(), c("ok")).otherwise(
                 c("ok") & F.coalesce("next_ok", F.lit(False))).alias("ok"),
             F.when(c("next_ok"), c("next_next")).alias("next")))
+    state = state.withColumn("ok", c("ok") & c("next").isNull())
     status = (F.when(~c("integrity_ok"), "FAIL").when(~runnable, "SKIP")
               .when(c("ok"), "PASS").otherwise("FAIL"))
     reason = (F.when(~c("integrity_ok"), "asset integrity failed")

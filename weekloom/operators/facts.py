@@ -243,13 +243,14 @@ def top_keywords(rows: DataFrame, n: Column, by: list[str], score: str, order: s
 
 
 def keywords(rows: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Top keywords of each bundle. Limits of a profile lie between 1 and 100."""
+    """Top keywords of each bundle. Limits lie between 1 and
+    ``fixed.KEYWORD_LIMIT``; a profile off that range is an error of its bundles."""
     words = rows.where("kind = 'keyword'").select(
         *ROW, "values", parse_number(value("Conversions")["s"], value("Conversions")["t"])
         .alias("_conversions"))
     window = W.partitionBy(*KEY).orderBy(F.col("_conversions").desc(), "row_no")
     best = words.withColumn("rank", F.row_number().over(window).cast("bigint")).where(
-        "rank <= 100")
+        f"rank <= {fixed.KEYWORD_LIMIT}")
     best = best.join(profiles.select("market", "keyword_top_n"), "market").where(
         "rank <= keyword_top_n")
     return typed(best, "keywords", ["rank"])

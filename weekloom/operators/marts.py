@@ -97,10 +97,13 @@ def canonical_report(facts: dict[str, DataFrame], reports: DataFrame) -> DataFra
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """JSON reports by market and period start, with the stem as a column."""
+    """JSON reports by market and period, with the stem as a column.
+
+    A period is a start and an end, so a report never replaces one of another length.
+    """
     from weekloom.functions.text import report_stem
 
     named = reports.withColumn("file_stem", report_stem(
         F.col("market"), F.col("period_start"), F.col("period_end")))
     (named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("market", "period_start").json(path))
+     .partitionBy("market", "period_start", "period_end").json(path))

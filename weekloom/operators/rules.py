@@ -35,6 +35,35 @@ def differ(actual: Column, expected: Column, code: str, path) -> tuple[Column, C
     return ~actual.eqNullSafe(expected), error(code, path, actual=actual, expected=expected)
 
 
+def profile_rules(bundles: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Every bundle needs exactly one profile of its market, with a keyword limit in range."""
+    found = profiles.groupBy("market").agg(
+        F.count("*").alias("n"), F.min("keyword_top_n").alias("low"),
+        F.max("keyword_top_n").alias("high"))
+    c = F.col
+    limit = fixed.KEYWORD_LIMIT
+    joined = bundles.select(*KEY).distinct().join(found, "market", "left")
+    return emit(
+        joined,
+        (c("n").isNull(), error("NO_PROFILE", "profile", actual=F.lit(0), expected=F.lit(1))),
+        (c("n") > 1, error("AMBIGUOUS_PROFILE", "profile", actual=c("n"), expected=F.lit(1))),
+        (c("n").isNotNull() & F.coalesce((c("low") < 1) | (c("high") > limit), F.lit(True)),
+         error("KEYWORD_LIMIT", "profile.keyword_top_n", actual=c("high"),
+               expected=F.lit(limit))))
+
+
+def single_profiles(profiles: DataFrame) -> DataFrame:
+    """Profiles of the markets that have one; the others produce no facts."""
+    one = profiles.groupBy("market").agg(F.count("*").alias("n")).where("n = 1")
+    return profiles.join(one.select("market"), "market", "left_semi")
+
+
+def report_rules(bundles: DataFrame, reports: DataFrame) -> DataFrame:
+    """A bundle without a report row cannot pass."""
+    return issue(bundles.select(*KEY).distinct().join(reports.select(*KEY), KEY, "left_anti"),
+                 "ERROR", "NO_REPORT", "report")
+
+
 # --- one row per bundle -----------------------------------------------------------------
 
 def metadata_rules(reports: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -110,27 +139,45 @@ def measures(facts: dict[str, DataFrame]) -> DataFrame:
     parts = []
     for section in ("daily", "summary", "campaign", "traffic", "audience"):
         df = facts[section]
-        cols = [F.col(m).cast("decimal(18,4)" if m in MONEY else "bigint").alias(m)
-                if m in df.columns else
-                F.lit(None).cast("decimal(18,4)" if m in MONEY else "bigint").alias(m)
-                for m in MEASURES]
+        kind = {m: "decimal(18,4)" if m in MONEY else "bigint" for m in MEASURES}
+        cols = [F.col(m).try_cast(kind[m]).alias(m) if m in df.columns else
+                F.lit(None).cast(kind[m]).alias(m) for m in MEASURES]
+        lost = F.lit(False)
+        for m in MEASURES:
+            if m in df.columns:
+                lost = lost | (F.col(m).isNotNull() & F.col(m).try_cast(kind[m]).isNull())
         parts.append(df.select(
             *KEY, F.lit(section).alias("section"),
             (F.col("product_id") if "product_id" in df.columns
              else F.lit(None).cast("string")).alias("product_id"),
             (F.col("day") if "day" in df.columns else F.lit(None).cast("date")).alias("day"),
-            *cols))
+            *cols, lost.alias("lost")))
     long = parts[0]
     for part in parts[1:]:
         long = long.unionByName(part)
     return long.groupBy(*KEY, "section", "product_id", "day").agg(
-        F.count("*").alias("n"), *[F.sum(m).alias(m) for m in MEASURES])
+        F.count("*").alias("n"), *[F.try_sum(m).alias(m) for m in MEASURES],
+        (F.max("lost") | reduced_to_null()).alias("lost"))
+
+
+def reduced_to_null() -> Column:
+    """Whether a sum ran over although it had values."""
+    over = F.lit(False)
+    for m in MEASURES:
+        over = over | ((F.count(m) > 0) & F.try_sum(m).isNull())
+    return over
+
+
+def amount_rules(sums: DataFrame) -> DataFrame:
+    """Amounts too large to be summed exactly; their sections cannot be reconciled."""
+    return issue(sums.where("lost"), "ERROR", "AMOUNT_OUT_OF_RANGE", F.concat_ws(
+        ".", "section", "product_id", F.col("day").cast("string")))
 
 
 def wide(sums: DataFrame, reports: DataFrame, profiles: DataFrame) -> DataFrame:
     """All section totals of a bundle in one row, next to its overall row and settings."""
     at = lambda section, col: F.when(F.col("section") == section, F.col(col))
-    total = lambda s, m: F.coalesce(F.sum(at(s, m)), F.lit(0)).alias(f"{s}_{m}")
+    total = lambda s, m: F.coalesce(F.try_sum(at(s, m)), F.lit(0)).alias(f"{s}_{m}")
     aggs = [total(s, m) for s in ("daily", "summary") for m in MEASURES[:4]]
     aggs += [total(s, m) for s in ("campaign", "traffic")
              for m in ("amount_spent", "link_clicks", "impressions")]
@@ -223,9 +270,9 @@ def product_set_rules(w: DataFrame, facts: dict[str, DataFrame], products: DataF
 def total_rules(w: DataFrame) -> DataFrame:
     """Conversion campaigns plus traffic against the overall row."""
     c = F.col
-    spend = (c("campaign_amount_spent") + c("traffic_amount_spent")).cast("double")
-    clicks = c("campaign_link_clicks") + c("traffic_link_clicks")
-    shown = c("campaign_impressions") + c("traffic_impressions")
+    plus = lambda m: F.try_add(f"campaign_{m}", f"traffic_{m}")
+    spend = plus("amount_spent").cast("double")
+    clicks, shown = plus("link_clicks"), plus("impressions")
     far, row = apart(c("ctr"),
                      F.try_divide(clicks.cast("double"), shown.cast("double")) * 100.0,
                      c("ratio_tolerance"), "CTR_RECONCILIATION", "current_overall.ctr")
@@ -246,7 +293,7 @@ def cross_view_rules(sums: DataFrame, bundles: DataFrame, profiles: DataFrame,
     names = MEASURES[:4]
     per = sums.where("product_id is not null and section <> 'daily'") \
         .groupBy(*KEY, "product_id").agg(
-            *[F.sum(at(s, m)).alias(f"{s}_{m}") for s in
+            *[F.try_sum(at(s, m)).alias(f"{s}_{m}") for s in
               ("summary", "campaign", "traffic", "audience") for m in names],
             *[F.count(at(s, "n")).alias(f"has_{s}") for s in
               ("summary", "campaign", "traffic", "audience")])
@@ -265,7 +312,7 @@ def cross_view_rules(sums: DataFrame, bundles: DataFrame, profiles: DataFrame,
         per,
         guard(traffic, apart(
             dbl("summary_amount_spent"),
-            (c("campaign_amount_spent") + c("traffic_amount_spent")).cast("double"), tol,
+            F.try_add("campaign_amount_spent", "traffic_amount_spent").cast("double"), tol,
             "PRODUCT_SPEND_COMPONENTS", path(summary_path, ".summary.amount_spent"))),
         guard(audience, apart(dbl("audience_amount_spent"), dbl("campaign_amount_spent"), tol,
                               "AUDIENCE_CAMPAIGN_SPEND", path("audience.", ".amount_spent"))),

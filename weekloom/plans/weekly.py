@@ -30,13 +30,18 @@ def report_rows(overall: DataFrame, profiles: DataFrame, history: DataFrame) ->
 
 
 def check_report(found: dict, facts: dict, reports: DataFrame, profiles: DataFrame,
-                 lineage: DataFrame) -> DataFrame:
-    """All issues of all bundles: reading problems and every reconciliation rule."""
+                 lineage: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """All issues of all bundles: reading problems and every reconciliation rule.
+
+    ``asked`` holds the profiles as given, ``profiles`` those that can be used.
+    """
     products = A.dim_product(profiles)
     sums = cut(U.measures(facts))
     w = cut(U.wide(sums, reports, profiles))
+    bundles = found["per_kind"]
     return U.union_issues(
-        A.reading_issues(found, facts, profiles), U.metadata_rules(reports, profiles),
+        U.profile_rules(bundles, profiles if asked is None else asked),
+        U.report_rules(bundles, reports), U.amount_rules(sums), A.reading_issues(found, facts, profiles), U.metadata_rules(reports, profiles),
         U.source_rules(reports, found["tables"], profiles), U.history_rules(reports, profiles),
         U.coverage_rules(w), U.daily_sum_rules(w), U.product_sum_rules(w), U.cart_rate_rules(w),
         U.product_set_rules(w, facts, products), U.total_rules(w),
@@ -52,10 +57,11 @@ def weekly_report(raw: DataFrame, profiles: DataFrame, history: DataFrame) -> di
     Stages that several later ones read are written once and read back.
     """
     found = recognize(raw)
+    asked, profiles = profiles, U.single_profiles(profiles)
     facts = {name: cut(df) for name, df in A.build_facts(found, profiles).items()}
     reports = cut(report_rows(facts["overall"], profiles, history))
     lineage = cut(L.build_lineage(found["rows"], facts, reports))
-    issues = cut(check_report(found, facts, reports, profiles, lineage))
+    issues = cut(check_report(found, facts, reports, profiles, lineage, asked))
     return {"found": found, "facts": facts, "reports": reports, "lineage": lineage,
             "issues": issues, "verdict": verdict(found["per_kind"], issues)}
 

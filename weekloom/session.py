@@ -1,7 +1,9 @@
 """Session settings and lineage cuts."""
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,16 +25,24 @@ def build_session(app: str = "weekloom", master: str | None = None, **conf) -> S
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private one only where none is named."""
+    """The shared checkpoint folder. Without one, a local session takes a folder of its own and a
+    cluster is refused, as its executors could not read each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), f"weekloom-checkpoints-{os.getpid()}")
     return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the frame to reliable storage once, so that later stages read it back."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_root(df.sparkSession))
-    return df.checkpoint()
+    """Write the frame to the shared folder once, so that later stages read it back.
+
+    Stages are Parquet: compressed, and read by column and filter. They live as long as the
+    folder, whose lifetime is the cluster's to set.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -94,9 +94,13 @@ def registration_problems(incoming: DataFrame, existing: DataFrame, replace: boo
     """Why a new sample may not enter the catalog.
 
     Both sides hold ``sample_id, market, period_start, period_end, source_sha256, content``,
-    where content is everything that makes two registrations equal.
+    where content is everything that makes two registrations equal. New samples are held against
+    each other too: of one period or source, only the first id of the batch may enter.
     """
     c = F.col
+    first = lambda keys: incoming.where(" and ".join(
+        f"{k} is not null" for k in keys)).groupBy(*keys).agg(
+        F.min("sample_id").alias(f"first_{keys[-1]}"))
     old = existing.select("sample_id", c("content").alias("old_content"))
     df = incoming.join(old, "sample_id", "left")
     others = lambda keys, name: existing.groupBy(*keys).agg(
@@ -108,11 +112,16 @@ def registration_problems(incoming: DataFrame, existing: DataFrame, replace: boo
     # an entry of the same id is the one being replaced, so it does not count as another
     foreign = lambda name: c(f"n_{name}").isNotNull() & (
         (c(f"lo_{name}") != c("sample_id")) | (c(f"hi_{name}") != c("sample_id")))
+    df = df.join(first(period), period, "left").join(
+        first(["source_sha256"]), "source_sha256", "left")
+    later = lambda key: c(f"first_{key}") < c("sample_id")
     same = c("old_content").eqNullSafe(c("content")) & c("old_content").isNotNull()
     problem = (F.when(same, F.lit(None).cast("string"))
                .when(c("old_content").isNotNull() & F.lit(not replace), "different_metadata")
                .when(foreign("p"), "duplicate_market_period")
-               .when(foreign("s"), "duplicate_source"))
+               .when(foreign("s"), "duplicate_source")
+               .when(later("period_end"), "duplicate_market_period")
+               .when(later("source_sha256"), "duplicate_source"))
     return df.select("sample_id", same.alias("unchanged"), problem.alias("problem"))
 
 

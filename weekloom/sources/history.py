@@ -1,5 +1,6 @@
 """Report history: seeds, guarded upserts, snapshots and the previous period."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,13 +44,14 @@ def write_guards(reports: DataFrame) -> DataFrame:
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, order: str = "load_ts") -> DataFrame:
-    """One row per market and period; the latest load wins.
+    """One row per market and period; the latest load wins, and of equal loads the greatest row.
 
     ``max_by`` combines before the shuffle, so repeated loads of one week never meet in one task.
     """
     both = existing.unionByName(incoming)
     row = F.struct(*[c for c in both.columns if c not in IDENTITY])
-    kept = both.groupBy(*IDENTITY).agg(F.max_by(row, F.col(order)).alias("r"))
+    kept = both.groupBy(*IDENTITY).agg(F.max_by(row, F.struct(
+        F.col(order), *[c for c in sorted(both.columns) if c not in IDENTITY])).alias("r"))
     return kept.select(*IDENTITY, "r.*")
 
 
@@ -58,14 +60,16 @@ def commit(spark, path: str, incoming: DataFrame) -> None:
 
     The merged rows are staged first, since a table cannot be overwritten while it is read.
     """
-    markets = incoming.select("market").distinct()
-    context = spark.sparkContext
-    target = context._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(context._jsc.hadoopConfiguration()).exists(target):
+    staged_in = cut(incoming)
+    try:
         old = spark.read.schema(incoming.schema).parquet(path)
-        merged = upsert(old.join(markets, "market", "left_semi"), incoming)
-    else:
-        merged = upsert(incoming.limit(0), incoming)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = incoming.limit(0)
+    # one value per market of this run, so that only their folders are listed
+    markets = [r["market"] for r in staged_in.select("market").distinct().collect()]
+    merged = upsert(old.where(F.col("market").isin(markets)), staged_in)
     staged = cut(merged)
     (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("market").parquet(path))
@@ -89,8 +93,9 @@ def previous_period(current: DataFrame, history: DataFrame) -> DataFrame:
     bounded by the calendar whatever the number of reports.
     """
     fields = [c for c in history.columns if c != "market"]
+    ties = ["period_start", "is_db", *(["bundle_id"] if "bundle_id" in fields else [])]
     best = history.groupBy("market", F.col("period_end").alias("t")).agg(
-        F.max_by(F.struct(*fields), F.struct("period_start", "is_db")).alias("h"))
+        F.max_by(F.struct(*fields), F.struct(*ties)).alias("h"))
     asked = current.select("market", F.col("period_start").alias("t")).distinct()
     line = best.withColumn("turn", F.lit(1)).unionByName(
         asked.withColumn("turn", F.lit(0)), allowMissingColumns=True)

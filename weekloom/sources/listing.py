@@ -52,12 +52,17 @@ def source_set_digest(files: DataFrame, by: list[str]) -> DataFrame:
     nul = F.lit(b"\x00")
     part = F.concat(F.encode("kind", "UTF-8"), nul, F.encode("path", "UTF-8"), nul,
                     F.unhex("sha256"))
-    sets = files.groupBy(*by).agg(
-        F.count("*").alias("files"), F.count_distinct("kind").alias("kinds"),
+    kinds = F.col("kind").isin(fixed.KINDS)
+    flags = [F.count_if(F.col("kind") == k).alias(f"_{i}") for i, k in enumerate(fixed.KINDS)]
+    # counted first, so that only sets of eight files are ever collected
+    counts = files.groupBy(*by).agg(*flags, F.count_if(~kinds | F.col("kind").isNull())
+                                    .alias("_more"))
+    complete = counts.where(" and ".join(
+        [f"_{i} = 1" for i in range(len(fixed.KINDS))] + ["_more = 0"])).select(*by)
+    sets = files.join(complete, by, "left_semi").groupBy(*by).agg(
         F.sort_array(F.collect_list(F.struct(order.alias("i"), part.alias("part")))).alias("parts"))
     whole = F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x["part"]))
-    return sets.where(f"files = {len(fixed.KINDS)} and kinds = files").select(
-        *by, F.sha2(whole, 256).alias("digest"))
+    return sets.select(*by, F.sha2(whole, 256).alias("digest"))
 
 
 def config_problems(products: DataFrame, settings: DataFrame) -> DataFrame:
@@ -67,7 +72,7 @@ def config_problems(products: DataFrame, settings: DataFrame) -> DataFrame:
                 .where("n > 1").select("profile", F.lit(problem).alias("problem"), "value"))
 
     pin = strip(casefold(F.col("creative_pin")))
-    off = settings.where("keyword_top_n < 1 or keyword_top_n > 100").select(
+    off = settings.where(f"keyword_top_n < 1 or keyword_top_n > {fixed.KEYWORD_LIMIT}").select(
         "profile", F.lit("keyword_top_n").alias("problem"),
         F.col("keyword_top_n").cast("string").alias("value"))
     return (twice(products, F.col("id"), "duplicate_product_id")

@@ -21,8 +21,18 @@ CELL = "struct<s:string,t:string>"
 BATCH = 5000
 
 
+def oversized_files(spark: SparkSession, path: str, limit: int = fixed.MAX_SOURCE_BYTES
+                    ) -> DataFrame:
+    """(path, length) of source files above the size limit; their content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)\z", 1))
+    return files.where((F.col("length") > limit)
+                       & suffix.isin([*fixed.SOURCE_SUFFIXES, ".zip"])).select("path", "length")
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, content) of source files up to the size limit; larger ones stay unread."""
+    """(path, length, content) of source files up to the size limit; ``oversized_files`` names
+    the others."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)\z", 1))
     return files.where((F.col("length") <= fixed.MAX_SOURCE_BYTES)
