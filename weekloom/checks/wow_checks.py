@@ -16,14 +16,19 @@ def metric_rows_sql():
                "product_campaign": ("campaign_x", "product_id", "''", "campaign_name", "idx"),
                "audience": ("audience_x", "product_id", "ad_set_name", "ad_set_name", "idx"),
                "traffic": ("traffic_x", "product_id", "campaign_name", "campaign_name", "idx")}
+    # each view once, and only bundles that take part in a pair
+    views = "".join(
+        f",\n{source}_m as materialized (select * from {source} where bundle_id in "
+        "(select bundle_id from pairs union all select prev_bundle_id from pairs))"
+        for source, *_ in sources.values())
     parts = []
     for scope, (source, pid, name, row_name, idx) in sources.items():
         for i, metric in enumerate(fixed.SCOPE_METRICS[scope]):
             parts.append(
                 f"select bundle_id, market, period_start, '{scope}' as scope, {pid} as pid, "
                 f"{name} as name, {row_name} as row_name, {idx} as idx, '{metric}' as metric, "
-                f"cast({metric} as double) as v from {source}")
-    return ",\nlong as (" + " union all ".join(parts) + ")"
+                f"cast({metric} as double) as v from {source}_m")
+    return views + ",\nlong as materialized (" + " union all ".join(parts) + ")"
 
 
 def class_sql(position, col="metric"):
@@ -44,12 +49,12 @@ PATH = ("'$.' || " + SECTION + " || case when scope = 'overall' then '' else '['
         "|| case when scope = 'product_campaign' then '.campaign' else '' end || '.' || metric")
 
 FACTS = metric_rows_sql() + f""",
-paired as (
+paired as materialized (
   select c.*, p.v as previous, p.idx as prev_idx,
          case when c.name = '' then c.pid else c.pid || chr(31) || c.name end as joined
-  from long c join long p on p.market = c.market and p.scope = c.scope and p.pid = c.pid
+  from long c join pairs on pairs.bundle_id = c.bundle_id
+  join long p on p.bundle_id = pairs.prev_bundle_id and p.scope = c.scope and p.pid = c.pid
    and p.name = c.name and p.metric = c.metric
-  join pairs on pairs.bundle_id = c.bundle_id and pairs.prev_bundle_id = p.bundle_id
   where c.v is not null and p.v is not null),
 d as (
   select *, v as current, v - previous as raw, abs(v - previous) <= 1e-12 as flat,
@@ -83,7 +88,7 @@ o as (
   from facts)
 """
 WEEKS = ads.BASE + """,
-pairs as (
+pairs as materialized (
   select c.bundle_id, p.bundle_id as prev_bundle_id
   from overall_x c join overall_x p on p.market = c.market and p.w = c.w - 1)
 """
@@ -219,7 +224,7 @@ def safe_labels(spark, sf):
 
 
 PUBLISHED = ads.BASE + "," + CLEAN + """,
-pairs as (
+pairs as materialized (
   select c.bundle_id, p.bundle_id as prev_bundle_id
   from clean c join clean p on p.market = c.market and p.w = c.w - 1)
 """

@@ -12,11 +12,30 @@ def matches(col: Column, pattern: str) -> Column:
     return col.rlike("(?U)" + pattern)
 
 
+#: what a text must hold for a pattern to match, by plain search or a cheap class; the patterns'
+#: look-behinds and Unicode classes cost much more
+_WEB = r"://|[wW]{3}\."
+_HOME, _DOTS, _DRIVE = "[~/]", r"\.[\\/]", r"[A-Za-z]:[\\/]"
+GATES = {
+    **dict(zip((p for p, _ in fixed.UNSAFE_PROSE), (_WEB, _HOME, _DOTS, _DRIVE))),
+    fixed.UNSAFE_PROSE[-1][0]: "[忽系开提越执运]",
+    fixed.URL_TEXT: _WEB, fixed.POSIX_PATH: _HOME, fixed.RELATIVE_PATH: _DOTS,
+    fixed.WINDOWS_PATH: _DRIVE,
+}
+
+
+def gated(col: Column, pattern: str) -> Column:
+    """``matches``, tried only on texts that pass the pattern's gate."""
+    if pattern not in GATES:
+        return matches(col, pattern)
+    return col.rlike(GATES[pattern]) & matches(col, pattern)
+
+
 def unsafe_prose(col: Column) -> Column:
     """Why a text must not be shown: the first reason that applies, or null."""
     reason = F.when(col.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), "control characters")
     for pattern, name in fixed.UNSAFE_PROSE:
-        reason = reason.when(matches(col, pattern), name)
+        reason = reason.when(gated(col, pattern), name)
     return reason
 
 
@@ -101,8 +120,8 @@ def _instruction(col: Column) -> Column:
 
 
 def _reference(col: Column) -> Column:
-    return (matches(col, fixed.URL_TEXT) | matches(col, fixed.WINDOWS_PATH)
-            | matches(col, fixed.POSIX_PATH) | matches(col, fixed.RELATIVE_PATH))
+    return (gated(col, fixed.URL_TEXT) | gated(col, fixed.WINDOWS_PATH)
+            | gated(col, fixed.POSIX_PATH) | gated(col, fixed.RELATIVE_PATH))
 
 
 def forbidden(col: Column) -> Column:
@@ -117,7 +136,7 @@ def redact(normalized: Column, item: bool = False) -> Column:
     clean = F.regexp_replace(clean, r"\A[ \t\r\n,;:]+|[ \t\r\n,;:]+\z", "")
     limit = fixed.ITEM_LIMIT if item else fixed.MESSAGE_LIMIT
     return (F.when(_instruction(normalized), phrase["instruction"])
-            .when(matches(normalized, fixed.URL_TEXT), phrase["url"])
+            .when(gated(normalized, fixed.URL_TEXT), phrase["url"])
             .when(_reference(normalized), phrase["path"])
             .otherwise(F.coalesce(F.nullif(F.substring(clean, 1, limit), F.lit("")),
                                   F.lit(phrase["empty"]))))
