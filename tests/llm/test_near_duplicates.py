@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from tests.llm.conftest import odd_rows, prose
 from weekloom.llm import simhash
 from weekloom.llm.components import components
-from weekloom.llm.repeats import keep_new, merged, whole_characters, without_repeats
+from weekloom.llm.repeats import (by_suffixes, keep_new, merged, repeated_windows,
+                                  whole_characters, without_repeats)
+from weekloom.llm.suffix_sort import shared, suffixes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -117,8 +119,20 @@ def slow_repeats(texts, span):
     return out
 
 
-@pytest.mark.parametrize("crowd", [0, 1000])
-def test_repeats_of_planted_passages(frame, monkeypatch, crowd):
+def test_suffixes_in_order_with_common_prefixes():
+    """Against plain sorting, with queues that spill after one tuple and later."""
+    r = random.Random(1)
+    for _ in range(400):
+        text = [r.randint(0, r.choice([0, 1, 3, 25])) for _ in range(r.randint(0, 30))]
+        text = text[:8] * 4 if r.random() < .3 else text
+        order = sorted(range(len(text)), key=lambda k: text[k:])
+        want = [(p, shared(text, order[n - 1], p) if n else 0) for n, p in enumerate(order)]
+        assert list(suffixes(text, r.choice([1, 2, 5, 1000]))) == want
+
+
+@pytest.mark.parametrize("crowd, compare", [
+    (0, repeated_windows), (1000, repeated_windows), (1000, by_suffixes)])
+def test_repeats_of_planted_passages(frame, monkeypatch, crowd, compare):
     """Passages at all offsets, overlapping, periodic, at either end, in crowded keys or not."""
     monkeypatch.setattr("weekloom.llm.repeats.CROWD", crowd)
     r = random.Random(4)
@@ -135,7 +149,7 @@ def test_repeats_of_planted_passages(frame, monkeypatch, crowd):
     rows = [(k, t, *[None] * 7) for k, t in enumerate(texts)]
     got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], len(x["removed"]),
                          hashlib.sha256(x["kept"]).hexdigest())
-           for x in without_repeats(frame(rows)).collect()}
+           for x in without_repeats(frame(rows), compare=compare).collect()}
     assert [got[k] for k in range(len(texts))] == slow_repeats([t.encode() for t in texts], 200)
 
 

@@ -1,8 +1,9 @@
 """Exact removal of repeated byte strings: every byte covered by a ``SPAN``-byte string that also
 starts anywhere else in the corpus goes.
 
-The README says why the query does not sort suffixes: it narrows the corpus to where repeats can
-be and compares windows there. Suffix sorting of a shard is in ``suffix_sort``.
+The corpus is narrowed to where repeats can be; what is left is compared in shards. A shard is
+compared by external induced suffix sorting (``suffix_sort``, with ``compare=by_suffixes``) or by
+hashes of its windows, which gives the same result; the README says why the query takes hashes.
 
 1. Each text is cut into runs of windows (``regions``); a window's twin lies in a run of the same
    key. Keys are counted, and runs whose key is nowhere else are done.
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from weekloom.llm.common import documents, schema_after, stage
 from weekloom.llm.regions import runs
+from weekloom.llm.suffix_sort import repeated_places
 
 SPAN = 200
 CROWD = 1000
@@ -130,6 +132,11 @@ def repeated_windows(contents: list[bytes], span: int) -> list[np.ndarray]:
     return np.split(flags, np.cumsum([len(p[0]) for p in parts])[:-1])
 
 
+def by_suffixes(contents: list[bytes], span: int) -> list[np.ndarray]:
+    """The same by suffix sorting: windows that share ``span`` bytes with a neighbour."""
+    return [np.array(f, bool) for f in repeated_places(contents, span)]
+
+
 CONTENT = "u long, m long, a int, single boolean, crowd boolean, content binary"
 
 
@@ -160,13 +167,13 @@ def contents(texts: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     return found.mapInArrow(run, CONTENT)
 
 
-def near_contents(rows: DataFrame, span: int) -> DataFrame:
+def near_contents(rows: DataFrame, span: int, compare=repeated_windows) -> DataFrame:
     """(u, a, e): spans of single contents that repeat under the same key; keys meet in one
     partition, sorted, and are compared in portions of whole keys."""
     def flush(held):
         out = []
         for (u, _, a, single, _), flags in zip(
-                held, repeated_windows([h[4] for h in held], span)):
+                held, compare([h[4] for h in held], span)):
             if single:
                 out += [(u, a + i, a + j + span) for i, j in joined_ranges(flags)]
         columns = list(zip(*out)) if out else [[]] * 3
@@ -210,7 +217,7 @@ def crowd_contents(rows: DataFrame, span: int) -> DataFrame:
             .select("u", "a", (F.col("a") + span).alias("e")))
 
 
-def repeated_spans(texts: DataFrame, span: int) -> DataFrame:
+def repeated_spans(texts: DataFrame, span: int, compare=repeated_windows) -> DataFrame:
     """(k1, k2, spans): places of every text whose bytes repeat; spans may overlap."""
     table = stage(doc_runs(texts, span), "runs")
     every = table.select("u", F.explode("runs").alias("x")).select("u", "x.*")
@@ -232,7 +239,7 @@ def repeated_spans(texts: DataFrame, span: int) -> DataFrame:
     found = stage(contents(texts, wanted, span), "run-contents")
     whole = (shared.join(kinds.where("n > 1").select("m", "r"), ["m", "r"], "left_semi")
              .select("u", "a", (F.col("b") + span).alias("e")))
-    spans = whole.unionByName(near_contents(found, span)).unionByName(crowd_contents(found, span))
+    spans = whole.unionByName(near_contents(found, span, compare)).unionByName(crowd_contents(found, span))
     by_text = spans.join(owners.drop("doc"), "u").select("k1", "k2", "a", "e").distinct()
     return by_text.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
 
@@ -261,11 +268,12 @@ def whole_characters(data: bytes, gone: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, span: int = SPAN, characters: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, span: int = SPAN, characters: bool = False,
+                    compare=repeated_windows) -> DataFrame:
     """(doc_id, n_bytes, n_removed, removed, kept): maximal removed byte ranges and the bytes
     that stay. With ``characters``, a character that would be cut stays whole."""
     texts = keyed(docs)
-    spans = stage(repeated_spans(texts, span), "spans")
+    spans = stage(repeated_spans(texts, span, compare), "spans")
 
     def run(batches):
         import zstandard
