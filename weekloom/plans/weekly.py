@@ -66,21 +66,37 @@ def weekly_report(raw: DataFrame, profiles: DataFrame, history: DataFrame) -> di
             "issues": issues, "verdict": verdict(found["per_kind"], issues)}
 
 
-def snapshot_pairs(reports: DataFrame) -> DataFrame:
-    """Published reports with the latest published snapshot before them, and the gate."""
+def snapshot_pairs(reports: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Published reports with the latest published snapshot before them, and the gate.
+
+    ``stored`` holds key and currency of snapshots from earlier runs.
+    """
     snapshots = reports.select("market", "period_start", "period_end", "bundle_id", "currency",
                                F.lit(True).alias("is_db"))
+    if stored is not None:
+        snapshots = snapshots.unionByName(stored.select(
+            "market", "period_start", "period_end", "bundle_id", "currency",
+            F.lit(False).alias("is_db")))
     found = previous_period(reports.drop("previous", "previous_market"), snapshots)
     found = found.withColumn("previous", F.when(
         F.col("previous").isNotNull(), F.struct("market", "previous.*")))
     return X.gate(found)
 
 
-def change_report(result: dict) -> DataFrame:
-    """Change facts of publishable bundles whose previous week was published too."""
+def change_report(result: dict, stored: DataFrame | None = None,
+                  earlier: DataFrame | None = None) -> DataFrame:
+    """Change facts of publishable bundles whose previous week was published too.
+
+    ``stored`` and ``earlier`` are snapshots of earlier runs and their entities.
+    """
     reports = publishable(result["reports"], result["issues"])
-    pairs = snapshot_pairs(reports).where("status = 'available'").select(
+    pairs = snapshot_pairs(reports, stored).where("status = 'available'").select(
         *KEY, "currency", F.col("previous.bundle_id").alias("prev_bundle_id"))
     facts = result["facts"]
     names = facts["summary"].select(*KEY, "product_id", "display_name")
-    return X.change_facts(cut(X.entities(facts)), cut(pairs), names)
+    rows = X.entities(facts)
+    if earlier is not None:
+        # a bundle of this run counts with its rows of this run
+        rows = rows.unionByName(earlier.join(reports.select("bundle_id"), "bundle_id",
+                                             "left_anti"))
+    return X.change_facts(cut(rows), cut(pairs), names)
