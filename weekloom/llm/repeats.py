@@ -32,7 +32,8 @@ from weekloom.llm.regions import runs
 from weekloom.llm.suffix_sort import repeated_places
 
 SPAN = 200
-CROWD = 1000
+#: contents of one key that a task compares: about 6 MB of text and 100 MB of window hashes
+CROWD = 20_000
 PORTION = 4000
 RUNS = "array<struct<m:long,r:long,a:int,b:int,inner:boolean>>"
 RUN_TYPE = pa.list_(pa.struct([("m", pa.int64()), ("r", pa.int64()), ("a", pa.int32()),
@@ -240,8 +241,10 @@ def repeated_spans(texts: DataFrame, span: int, compare=repeated_windows) -> Dat
     whole = (shared.join(kinds.where("n > 1").select("m", "r"), ["m", "r"], "left_semi")
              .select("u", "a", (F.col("b") + span).alias("e")))
     spans = whole.unionByName(near_contents(found, span, compare)).unionByName(crowd_contents(found, span))
-    by_text = spans.join(owners.drop("doc"), "u").select("k1", "k2", "a", "e").distinct()
-    return by_text.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
+    # one row per document before anything is joined; copies of a text have the same spans
+    by_row = spans.groupBy("u").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
+    found = by_row.join(owners.drop("doc"), "u")
+    return found.groupBy("k1", "k2").agg(F.first("spans").alias("spans"))
 
 
 def merged(spans) -> list[list[int]]:
