@@ -1,6 +1,6 @@
-"""Time the headline queries into a noop sink: one warm-up and one timed run each.
+"""Time the headline queries into a noop sink: one warm-up, then the median of three runs.
 
-The two longest are timed on their first run.
+Slow queries run once after the warm-up; the weekly job is timed cold.
 
 BENCH_SF_DIR names the folder of Parquet tables, BENCH_CPUS the local cores. Prints one JSON line.
 """

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests import golden
 from tests.test_weekly import END, START, history_frame, profile_frame, raw_frame
-from weekloom import session
+from weekloom import fixed, session
 from weekloom.functions.numbers import parse_number
 from weekloom.operators import audit, guards
 from weekloom.operators import catalog_checks as C
@@ -114,6 +114,19 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
         session.checkpoint_root(Session())
 
 
+def test_a_vendor_header_is_read_when_named(spark):
+    kinds = copy.deepcopy(golden.bundle())
+    name = fixed.VENDOR_AVERAGE_VALUE_HEADER.format(vendor="Acme")
+    for kind in ("campaign", "creative"):
+        for row in kinds[kind]:
+            row[name] = row.pop(golden.AVERAGE)
+    raw = raw_frame(spark, {"v": ("MARKET A", kinds)})
+    named = weekly.weekly_report(raw, profile_frame(spark), history_frame(spark), vendor="Acme")
+    assert named["verdict"].first().passed
+    plain = weekly.weekly_report(raw, profile_frame(spark), history_frame(spark))
+    assert not plain["verdict"].first().passed
+
+
 def later(kinds, days):
     move = lambda m: (dt.date.fromisoformat(m[0]) + dt.timedelta(days)).isoformat()
     return {k: [{h: re.sub(r"20\d{2}-\d{2}-\d{2}", move, v) if isinstance(v, str) else v

@@ -274,13 +274,14 @@ def keyword_issues(rows: DataFrame, top: DataFrame, bundles: DataFrame,
                                expected=F.col("keyword_top_n"))))
 
 
-def build_facts(found: dict[str, DataFrame], profiles: DataFrame) -> dict[str, DataFrame]:
-    """All eight sections from recognised rows."""
+def build_facts(found: dict[str, DataFrame], profiles: DataFrame, vendor: str | None = None
+                ) -> dict[str, DataFrame]:
+    """All eight sections from recognised rows; ``vendor`` names one more accepted header."""
     rows, products = found["rows"], dim_product(profiles)
     return {"overall": overall(rows, found["tables"]), "daily": daily(rows),
             "summary": summary(rows, profiles, products),
-            "campaign": campaign(rows, profiles, products),
-            "creative": creative(rows, profiles, products),
+            "campaign": campaign(rows, profiles, products, vendor),
+            "creative": creative(rows, profiles, products, vendor),
             "traffic": traffic(rows, profiles), "audience": audience(rows, profiles),
             "keywords": keywords(rows, profiles)}
 

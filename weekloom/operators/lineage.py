@@ -95,10 +95,11 @@ def history_lineage(reports: DataFrame) -> DataFrame:
         F.lit(fixed.FROM_HISTORY).alias("transform"), F.col("e.sources").alias("sources"))
 
 
-def build_lineage(rows: DataFrame, facts: dict[str, DataFrame], reports: DataFrame) -> DataFrame:
+def build_lineage(rows: DataFrame, facts: dict[str, DataFrame], reports: DataFrame,
+                  vendor: str | None = None) -> DataFrame:
     result = history_lineage(reports)
     for section in fixed.SECTION_FIELDS:
-        result = result.unionByName(section_lineage(rows, facts[section], section))
+        result = result.unionByName(section_lineage(rows, facts[section], section, vendor))
     return result
 
 

@@ -51,16 +51,19 @@ def check_report(found: dict, facts: dict, reports: DataFrame, profiles: DataFra
         U.lineage_rules(L.expected_targets(facts, reports), lineage))
 
 
-def weekly_report(raw: DataFrame, profiles: DataFrame, history: DataFrame) -> dict:
+def weekly_report(raw: DataFrame, profiles: DataFrame, history: DataFrame,
+                  vendor: str | None = None) -> dict:
     """Facts, reports, lineage, issues and verdicts; ``profiles`` as ``prepare_profiles`` gives.
 
+    ``vendor`` names the header that exports of that vendor use for the average value.
+
     Stages that several later ones read are written once and read back.
     """
     found = recognize(raw)
     asked, profiles = profiles, U.single_profiles(profiles)
-    facts = {name: cut(df) for name, df in A.build_facts(found, profiles).items()}
+    facts = {name: cut(df) for name, df in A.build_facts(found, profiles, vendor).items()}
     reports = cut(report_rows(facts["overall"], profiles, history))
-    lineage = cut(L.build_lineage(found["rows"], facts, reports))
+    lineage = cut(L.build_lineage(found["rows"], facts, reports, vendor))
     issues = cut(check_report(found, facts, reports, profiles, lineage, asked))
     return {"found": found, "facts": facts, "reports": reports, "lineage": lineage,
             "issues": issues, "verdict": verdict(found["per_kind"], issues)}
