@@ -17,7 +17,8 @@ bounded however large the benchmark is. Documents are not shuffled.
 
 Defined cases: null texts count as empty; an item without words is in no document; an item of
 fewer than five words is one shingle, contained where its words stand together; repeated item rows
-give repeated pairs; further columns are not looked at; empty tables give an empty result.
+count once, repeated documents each; further columns are not looked at; empty tables give an empty
+result.
 """
 
 import numpy as np
@@ -150,11 +151,12 @@ class Index:
 
 def item_blocks(benchmark: DataFrame, size: int = ITEMS):
     """The items in blocks of about ``size`` rows."""
+    benchmark = benchmark.select("item_id", "text").distinct()
     n = benchmark.count()
     blocks = max(1, -(-n // size))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for k in range(blocks):
-        rows = benchmark.select("item_id", "text").where(block == k).collect()
+        rows = benchmark.where(block == k).collect()
         yield sorted(((r["item_id"], r["text"]) for r in rows), key=repr)
 
 

@@ -49,7 +49,8 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS,
               .where(F.col("nth") <= sample_docs).select("doc_id").collect())
     texts = (known.where(F.col("doc_id").isin([r["doc_id"] for r in picked]))
              .select("lang", "doc_id", F.substring("text", 1, sample_chars).alias("text"))
-             .where("text <> ''").collect()) if picked else []
+             .where("text <> ''").orderBy("lang", "doc_id", "text")
+             .limit(len(picked)).collect()) if picked else []
     found: dict[str, list] = {}
     for row in sorted(texts, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         of_lang = found.setdefault(row["lang"], [])

@@ -130,11 +130,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 ["doc_id", "slots", "x", "y"])
 
     rows = known.select("doc_id", "text", "quality").mapInArrow(run, schema_after(
-        docs, ["doc_id"], "slots array<long>, x array<double>, y int")).toArrow()
-    order = sorted(range(rows.num_rows), key=lambda k: (rows["doc_id"][k].as_py(),
-                                                        rows["y"][k].as_py()))[:sample_rows]
+        docs, ["doc_id"], "slots array<long>, x array<double>, y int"))
+    # an id may stand in any number of rows, so the bound is set again
+    rows = rows.orderBy("doc_id", "y", "slots").limit(sample_rows).toArrow()
     data = [(rows["slots"][k].values.to_numpy(), rows["x"][k].values.to_numpy(),
-             int(rows["y"][k].as_py() == 1)) for k in order]
+             int(rows["y"][k].as_py() == 1)) for k in range(rows.num_rows)]
     return fit(data) if data else None
 
 
