@@ -11,7 +11,7 @@ from weekloom.operators import facts as A
 from weekloom.operators import lineage as L
 from weekloom.operators import rules as U
 from weekloom.plans import weekly
-from weekloom.session import cut
+from weekloom.session import cut, cut_all
 from weekloom.sources import history as H
 
 METRICS_SQL = ", ".join(fixed.OVERALL_METRICS)
@@ -39,7 +39,7 @@ prev as (
 @once
 def staged_facts(spark, sf):
     got, profiles = found(spark, sf)
-    return {name: cut(df) for name, df in A.build_facts(got, profiles).items()}
+    return cut_all(A.build_facts(got, profiles))
 
 
 @once
@@ -392,8 +392,8 @@ def lineage_cells(spark, sf):
 @once
 def all_issues(spark, sf):
     got, profiles = found(spark, sf)
-    return cut(weekly.check_report(got, staged_facts(spark, sf), reports(spark, sf), profiles,
-                                   lineage(spark, sf)))
+    return weekly.check_report(got, staged_facts(spark, sf), reports(spark, sf), profiles,
+                               lineage(spark, sf))
 
 
 CLEAN = """

@@ -10,7 +10,7 @@ from weekloom.operators import lineage as L
 from weekloom.operators import rules as U
 from weekloom.operators import wow as X
 from weekloom.operators.recognize import recognize
-from weekloom.session import cut
+from weekloom.session import cut, cut_all
 from weekloom.sources.history import previous_period
 
 REPORT_FIELDS = ["schema_version", "template_version", "country_label", "currency",
@@ -29,6 +29,12 @@ def report_rows(overall: DataFrame, profiles: DataFrame, history: DataFrame) ->
         "previous_market", F.when(F.col("previous").isNotNull(), F.col("market")))
 
 
+def staged_issues(*parts: DataFrame, groups: int = 6) -> DataFrame:
+    """All parts, written in a few groups at once: one plan of every rule would take longest."""
+    chunks = {k: U.union_issues(*parts[k::groups]) for k in range(min(groups, len(parts)))}
+    return U.union_issues(*cut_all(chunks).values())
+
+
 def check_report(found: dict, facts: dict, reports: DataFrame, profiles: DataFrame,
                  lineage: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """All issues of all bundles: reading problems and every reconciliation rule.
@@ -39,7 +45,7 @@ def check_report(found: dict, facts: dict, reports: DataFrame, profiles: DataFra
     sums = cut(U.measures(facts))
     w = cut(U.wide(sums, reports, profiles))
     bundles = found["per_kind"]
-    return U.union_issues(
+    return staged_issues(
         U.profile_rules(bundles, profiles if asked is None else asked),
         U.report_rules(bundles, reports), U.amount_rules(sums), A.reading_issues(found, facts, profiles), U.metadata_rules(reports, profiles),
         U.source_rules(reports, found["tables"], profiles), U.history_rules(reports, profiles),
@@ -61,10 +67,10 @@ def weekly_report(raw: DataFrame, profiles: DataFrame, history: DataFrame,
     """
     found = recognize(raw)
     asked, profiles = profiles, U.single_profiles(profiles)
-    facts = {name: cut(df) for name, df in A.build_facts(found, profiles, vendor).items()}
+    facts = cut_all(A.build_facts(found, profiles, vendor))
     reports = cut(report_rows(facts["overall"], profiles, history))
     lineage = cut(L.build_lineage(found["rows"], facts, reports, vendor))
-    issues = cut(check_report(found, facts, reports, profiles, lineage, asked))
+    issues = check_report(found, facts, reports, profiles, lineage, asked)
     return {"found": found, "facts": facts, "reports": reports, "lineage": lineage,
             "issues": issues, "verdict": verdict(found["per_kind"], issues)}
 
