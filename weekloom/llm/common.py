@@ -47,8 +47,8 @@ def ranked(df: DataFrame, group: str, ids: list[str], out: str) -> DataFrame:
     A group of n rows is dealt over about sqrt(n) buckets by a hash of ``ids``; rows are numbered
     inside a bucket, and the bucket starts come from a running sum over sqrt(n) counts.
     ``df`` is read three times, so it should be a staged frame. The groups must be few by nature
-    (lengths up to a capacity, shards), as their counts are broadcast. Rows equal in all ``ids`` take
-    neighbouring numbers in any order.
+    (lengths up to a capacity, shards), as their counts are broadcast. Rows equal in all ``ids``
+    take neighbouring numbers in any order.
     """
     n = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
     wide = n.select("_g", F.ceil(F.sqrt("_n")).cast("long").alias("_w"))

@@ -2,9 +2,9 @@
 
 A node is split along its widest dimension (length, language, source, id; each scaled to the whole
 table) at the distributed weighted median, until every leaf is one shard. Documents of equal text
-are one point and stay together, unless the group holds more than 1/32 of a shard's bytes or (from 64
-rows on) rows; there are at most 1,024 such groups for 16 shards, and they are dealt into
-parts of that size by a hash of the id.
+are one point and stay together, unless the group holds more than 1/32 of a shard's bytes or (from
+64 rows on) rows; there are at most 1,024 such groups for 16 shards, and they are dealt into parts
+of that size by a hash of the id.
 
 The median is found by narrowing a 62-bit key (30 bits of the coordinate, 32 of a hash that parts
 ties), 12 bits a round: each round sums bytes by node and key prefix. What reaches the driver is

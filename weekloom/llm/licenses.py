@@ -33,8 +33,9 @@ FUZZY = [
     ("all rights reserved", "", 1, "all-rights-reserved"),
     ("redistribution and use in source and binary forms", "", 4, "bsd"),
 ]
-WORD_BYTES = bytes(b if b > 0x7F or chr(b).islower() or chr(b).isdigit() else 0x20 for b in range(128)) + bytes(
-    range(128, 256))
+#: bytes of words as they are, all others as spaces
+WORD_BYTES = bytes(b if b > 0x7F or chr(b).islower() or chr(b).isdigit() else 0x20
+                   for b in range(256))
 
 
 def joined_words(text: str | None) -> tuple[bytes, int]:

@@ -240,7 +240,8 @@ def repeated_spans(texts: DataFrame, span: int, compare=repeated_windows) -> Dat
     found = stage(contents(texts, wanted, span), "run-contents")
     whole = (shared.join(kinds.where("n > 1").select("m", "r"), ["m", "r"], "left_semi")
              .select("u", "a", (F.col("b") + span).alias("e")))
-    spans = whole.unionByName(near_contents(found, span, compare)).unionByName(crowd_contents(found, span))
+    spans = (whole.unionByName(near_contents(found, span, compare))
+             .unionByName(crowd_contents(found, span)))
     # one row per document before anything is joined; copies of a text have the same spans
     by_row = spans.groupBy("u").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
     found = by_row.join(owners.drop("doc"), "u")

@@ -98,8 +98,9 @@ def links(fps: DataFrame, max_cell: int = CELL) -> DataFrame:
     pairs = small.join(other, (F.col("cell") == F.col("o_cell")) & (F.col("fp") < F.col("b"))
                        & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= MAX_BITS))
     crowded = shared.where(F.col("n") > max_cell).select("fp").distinct()
+    one = F.lit(1).cast("long")
     flips = F.explode(F.concat(F.array(F.lit(0).cast("long")), F.transform(
-        F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+        F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", one, i))))
     near = crowded.select("fp", flips.alias("bit")).select(
         "fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("middle"))
     star = near.withColumn("b", F.min("fp").over(W.partitionBy("middle")))

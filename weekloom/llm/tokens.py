@@ -58,7 +58,7 @@ def char_classes(top: int) -> tuple[str, str]:
 
 
 #: white space as Unicode has it
-SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
+SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = re.compile(f"[{SPACE}]*")
 ABOVE = re.compile(r"[\U00010000-\U0010ffff]")
 
@@ -327,20 +327,18 @@ class PrefixCounter:
         joined = b"".join(parts)
         return np.cumsum(np.frombuffer(joined, "<i4"), dtype=np.int64)
 
-    def counts(self, text: str):
+    def counts(self, text: str) -> np.ndarray:
         """Token counts of text[:1], text[:2], ... as the library gives them."""
         out, at, base = [], 0, 0
         for m in self.cut.finditer(text):
-            if m.start() > at:
-                out.append(self.plain(text[at:m.start()]) + base)
-                base = int(out[-1][-1])
             # a cut special token is ordinary text and joins the last unit before it
-            begin = m.start()
-            for u in split_with(text)[1].finditer(text, at, m.start()):
-                begin = u.start()
-            before = int(out[-1][begin - at - 1]) if begin > at else base - (
-                int(out[-1][-1]) - (int(out[-2][-1]) if len(out) > 1 else 0)
-                if begin == at and m.start() > at else 0)
+            begin, before = m.start(), base
+            if begin > at:
+                counts = self.plain(text[at:begin]) + base
+                begin = [u.start() for u in split_with(text)[1].finditer(text, at, begin)][-1]
+                before = int(counts[begin - at - 1]) if begin > at else base
+                base = int(counts[-1])
+                out.append(counts)
             inner = [before + int(self.plain(text[begin:k])[-1])
                      for k in range(m.start() + 1, m.end())]
             base += 1
