@@ -41,7 +41,8 @@ def slow_pairs(docs, items, at_least=0.8):
 def planted():
     r = random.Random(11)
     items = [(k, prose(1000 + k, r.randint(2, 9))) for k in range(60)]
-    items += [(60, "four words only here"), (61, "solitary"), (62, ""), (63, None), (None, prose(5, 4))]
+    items += [(60, "four words only here"), (61, "solitary"), (62, ""), (63, None),
+              (None, prose(5, 4))]
     docs = []
     for k in range(60):
         text = words(prose(k, r.randint(1, 120)))
@@ -205,8 +206,9 @@ def test_quality_of_held_out_texts(spark, frame):
 
 
 def test_quality_of_odd_rows(spark, odd, empty):
-    marks = spark.createDataFrame([(k, k % 2) for k in range(12)] + [(100, None), (None, 1), (3, 0)],
-                                  "doc_id long, quality int")
+    marks = spark.createDataFrame(
+        [(k, k % 2) for k in range(12)] + [(100, None), (None, 1), (3, 0)],
+        "doc_id long, quality int")
     machine = quality_model.learn(odd, marks)
     got = quality_model.score(odd, machine).collect()
     assert len(got) == len(odd_rows()) and all(0 <= x["score"] <= 1 for x in got)
