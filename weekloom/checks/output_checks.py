@@ -215,8 +215,10 @@ def mart_sql():
 
     numbers = lambda s: [f for f, (_, k) in fixed.SECTION_FIELDS[s].items()
                          if k not in ("text", "keyword", "date")]
-    parts = [part("overall_x", 2, "'slot.overall.comparison_table'", "'current'", m, m)
-             for m in fixed.OVERALL_METRICS]
+    table = "'slot.overall.comparison_table'"
+    parts = [part("overall_x", 2, table, "'current'", m, m) for m in fixed.OVERALL_METRICS]
+    parts += [part("earlier", 2, table, "'previous'", m, f"p.{m}")
+              for m in fixed.OVERALL_METRICS]
     for source, slide, head, category, charts in (
             ("daily_x", 2, "slot.overall.daily", "day", M.DAILY_CHARTS),
             ("summary_x", 2, "slot.overall.product", "display_name", M.PRODUCT_CHARTS),
@@ -234,13 +236,34 @@ def mart_sql():
             ("keywords", 8, "'slot.keywords.table'", "keyword")):
         source = "keyword_x" if section == "keywords" else f"{section}_x"
         parts += [part(source, slide, slot, category, m, m) for m in numbers(section)]
-    return ads.BASE + " union all ".join(parts)
+    return EARLIER + " union all ".join(parts)
+
+
+METRICS = ", ".join(fixed.OVERALL_METRICS)
+#: the record before each bundle, with all its metrics
+EARLIER = ads.BASE + f""",
+loads as (
+  select market, period_start, period_end, true as is_db, {METRICS}
+  from overall_x where not (m = 1 and w = 1)
+  union all
+  select market, cast(period_start - interval 7 day as date),
+         cast(period_end - interval 7 day as date), false, {METRICS} from overall_x where w = 0
+  union all
+  select market, period_start, period_end, false,
+         {METRICS.replace("amount_spent", "-amount_spent", 1)} from overall_x where w = 2),
+earlier as (
+  select o.market, o.period_start,
+         max_by(struct_pack({", ".join(f"{m} := h.{m}" for m in fixed.OVERALL_METRICS)}),
+                struct_pack(e := h.period_end, s := h.period_start, d := h.is_db)) as p
+  from overall_x o join loads h on h.market = o.market and h.period_end < o.period_start
+  group by all)
+"""
 
 
 @check("report_mart", mart_sql())
 def report_mart(spark, sf):
-    r = reports(spark, sf).withColumn("previous", F.when(F.lit(False), F.col("previous")))
-    return M.report_mart(staged_facts(spark, sf), r).drop("bundle_id", "period_end")
+    return M.report_mart(staged_facts(spark, sf), reports(spark, sf)).drop(
+        "bundle_id", "period_end")
 
 
 @check("canonical_report", ads.BASE + "," + CLEAN + """
