@@ -104,6 +104,36 @@ def test_one_of_each_group_stays(odd, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def jaccard(x, y):
+    x, y = ({tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (x.split(), y.split()))
+    return len(x & y) / len(x | y)
+
+
+def edited(r, text, n):
+    w = text.split()
+    for k in r.sample(range(len(w)), n):
+        w[k] = f"edit{r.randrange(10 ** 6)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("max_cell, block", [(32, 512), (2, 5)])
+def test_edited_copies_are_one_document(frame, max_cell, block):
+    """Copies with changed words, from far above 0.8 to far below, in crowded keys or not."""
+    r = random.Random(6)
+    texts = []
+    for k in range(30):
+        base = prose(3000 + k, 40)
+        texts += [base, edited(r, base, r.randint(1, 14)), edited(r, base, r.randint(1, 14))]
+    base = prose(77, 60)
+    texts += [edited(r, base, r.randint(0, 9)) for _ in range(25)]
+    near = [jaccard(a, b) for a, b in itertools.combinations(texts, 2)]
+    assert sum(0.8 <= x < 0.95 for x in near) > 40 and sum(0.6 < x < 0.8 for x in near) > 10
+    top = roots(range(len(texts)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    rows = [(k, t, *[None] * 7) for k, t in enumerate(texts)]
+    kept = simhash.keep_one(frame(rows), max_cell, block)
+    assert {x["doc_id"] for x in kept.collect()} == set(top.values())
+
+
 def slow_repeats(texts, span):
     count = Counter(t[k:k + span] for t in texts for k in range(len(t) - span + 1))
     out = []

@@ -10,6 +10,11 @@ Equal fingerprints are one class before anything is joined. In a cell of more th
 fingerprints, pairs are not made: its members enter one key for each fingerprint within one bit,
 and all members of such a key are within 2 bits of each other, so a star of links is exact.
 
+The pipeline's stage (``keep_one``) has another bound, five-word shingles and an exact Jaccard
+likeness of 0.8, at which 64-bit fingerprints differ by 10 bits with a deviation of 3. No grid of
+segment counts tells 18 bits from the 32 of unrelated texts, so its candidates come from shared
+smallest shingle hashes and fingerprints of 256 bits.
+
 Defined cases: a null or empty text, or one without words, has fingerprint zero and links like
 any other; repeated rows share their class; null ids are left out of the least id (a class of
 null ids only has a null component); further columns are not looked at; an empty table gives an
@@ -31,6 +36,14 @@ MAX_BITS = 2
 CELL = 32
 PAIRS_OF_BITS = 0x5555555555555555
 BLOCK = 1 << 14
+#: the pipeline's stage has values of its own
+STAGE_SHINGLE = 5
+SIMILAR = 0.8
+LEAST = 8
+STAGE_BITS = 72
+CROWD_BLOCK = 512
+MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
+                   0xD6E8FEB86659FD93], np.uint64)
 
 
 def fingerprint(text: str | None) -> int:
@@ -128,16 +141,186 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return own.join(grouped(own), F.col("fp") == F.col("c_fp")).drop("c_fp", "root")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group with all its columns: that of the least id, then the least text
-    hash; rows without an id come last, and of equal rows one stays."""
+def word_shingles(text: str | None, width: int = STAGE_SHINGLE) -> set[bytes]:
+    """Distinct runs of ``width`` words; a shorter text is one run, one without words has none."""
+    words = (text or "").encode().lower().split()
+    if len(words) <= width:
+        return {b" ".join(words)} if words else set()
+    return {b" ".join(words[k:k + width]) for k in range(len(words) - width + 1)}
+
+
+def sketch(text: str | None) -> tuple[int, list[int], list[int]]:
+    """(hash of the shingle set, its ``LEAST`` smallest hashes, fingerprint as four longs)."""
+    from xxhash import xxh3_64_intdigest, xxh64_intdigest
+
+    own = word_shingles(text)
+    if not own:
+        return 0, [], [0] * len(MIXERS)
+    hashed = np.sort(np.fromiter((xxh64_intdigest(x, SEED) for x in own), "<u8", len(own)))
+    whole = int(np.uint64(xxh3_64_intdigest(hashed.tobytes())).view(np.int64))
+    votes = np.zeros(64 * len(MIXERS), np.int64)
+    for k in range(0, len(hashed), BLOCK):
+        part = hashed[k:k + BLOCK, None] * MIXERS
+        part ^= part >> np.uint64(32)
+        part *= np.uint64(0xBF58476D1CE4E5B9)
+        part ^= part >> np.uint64(29)
+        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1,
+                             bitorder="little")
+        votes += bits.sum(axis=0, dtype=np.int64)
+    fp = np.packbits(votes * 2 > len(hashed), bitorder="little").view("<i8")
+    return whole, hashed[:LEAST].view("<i8").tolist(), fp.tolist()
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, s, keys, fp, z): the sketch of every document and its text compressed."""
+    def run(batches):
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            found = [sketch(t) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("key"),
+                 pa.array([x[0] for x in found], pa.int64()),
+                 pa.array([x[1] for x in found], pa.list_(pa.int64())),
+                 pa.array([x[2] for x in found], pa.list_(pa.int64())),
+                 pa.array([press((t or "").encode()) for t in texts], pa.binary())],
+                ["doc_id", "key", "s", "keys", "fp", "z"])
+
+    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
+    return rows.mapInArrow(run, schema_after(
+        rows, ["doc_id", "key"], "s long, keys array<long>, fp array<long>, z binary"))
+
+
+def bits_apart(x: str, y: str) -> Column:
+    parts = [F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(len(MIXERS))]
+    return sum(parts[1:], parts[0])
+
+
+def crowd_pairs(crowd: DataFrame, block: int) -> DataFrame:
+    """(a, b) of the members of crowded keys that are of different roots and near enough on
+    their bits. Members are dealt over blocks, and two blocks meet in one task."""
+    def compare(rows):
+        left = [r for r in rows if r["own"] == r["lo"]]
+        right = left if rows[0]["lo"] == rows[0]["hi"] else [r for r in rows
+                                                              if r["own"] == r["hi"]]
+        if not left or not right:
+            return
+        fps, roots, ids = (np.array([r[c] for r in right], np.int64) for c in ("fp", "root", "s"))
+        for r in left:
+            # unsigned, as signed values are counted by their size
+            apart = np.bitwise_count((fps ^ np.array(r["fp"], np.int64)).view(np.uint64)).sum(axis=1)
+            for b in ids[(apart <= STAGE_BITS) & (roots != r["root"])].tolist():
+                yield min(r["s"], b), max(r["s"], b)
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                now = row["k"], row["lo"], row["hi"]
+                if held and now != last:
+                    yield batch_of(compare(held))
+                    held = []
+                last = now
+                held.append(row)
+        if held:
+            yield batch_of(compare(held))
+
+    def batch_of(pairs):
+        found = sorted(set(pairs))
+        return pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], pa.int64())
+                                           for n in (0, 1)], ["a", "b"])
+
+    width = F.ceil(F.col("n") / block).cast("long")
+    dealt = crowd.withColumn("own", F.pmod(F.xxhash64("s"), width)).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), width - 1)).alias("other")).select(
+        "k", "s", "fp", "root", "own", F.least("own", "other").alias("lo"),
+        F.greatest("own", "other").alias("hi"))
+    return dealt.repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi").mapInArrow(
+        run, "a long, b long").distinct()
+
+
+def similar(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard likeness of ``SIMILAR`` or more, exactly."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    texts = stage(own.select("s", "z").join(nodes, "s", "left_semi").groupBy("s").agg(
+        F.first("z").alias("z")), "pair-texts")
+
+    def run(batches):
+        import zstandard
+        from functools import lru_cache
+
+        unpress = zstandard.ZstdDecompressor().decompress
+
+        @lru_cache(8)
+        def shingles(z):
+            return word_shingles(unpress(z, max_output_size=1 << 31).decode() if z else "")
+
+        for batch in batches:
+            good = []
+            for za, zb in zip(batch.column("za"), batch.column("zb")):
+                x, y = shingles(za.as_py()), shingles(zb.as_py())
+                shared = len(x & y)
+                good.append(shared >= SIMILAR * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    one, two = (texts.select(F.col("s").alias(f"s{c}"), F.col("z").alias(f"z{c}")) for c in "ab")
+    return (pairs.join(one, F.col("a") == F.col("sa")).join(two, F.col("b") == F.col("sb"))
+            .select("a", "b", "za", "zb").mapInArrow(run, "a long, b long"))
+
+
+def near_roots(own: DataFrame, classes: DataFrame, max_cell: int = CELL,
+               block: int = CROWD_BLOCK) -> DataFrame:
+    """(node, root) of the shingle sets that link with others."""
+    members = classes.select("s", "fp", F.explode("keys").alias("k"))
+    counts = members.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct("s", "fp"))
+                                      .alias("top")).where("n > 1")
+    shared = stage(members.join(counts, "k").select("k", "s", "fp", "n", F.col("top.s").alias(
+        "top"), F.col("top.fp").alias("top_fp")), "shared-keys")
+    small = shared.where(F.col("n") <= max_cell).select("k", "s", "fp")
+    other = small.select(F.col("k").alias("k2"), F.col("s").alias("b"), F.col("fp").alias("fp2"))
+    pairs = small.join(other, (F.col("k") == F.col("k2")) & (F.col("s") < F.col("b"))
+                       & (bits_apart("fp", "fp2") <= STAGE_BITS)).select(F.col("s").alias("a"), "b")
+    # a crowd of near copies is mostly joined by links to one member
+    star = shared.where((F.col("n") > max_cell) & (F.col("s") != F.col("top"))
+                        & (bits_apart("fp", "top_fp") <= STAGE_BITS)).select(
+        F.col("top").alias("a"), F.col("s").alias("b"))
+    roots = components(similar(stage(pairs.unionByName(star).distinct(), "pairs"), own))
+    # what is left are members of one crowded key with different roots
+    crowd = stage(shared.where(F.col("n") > max_cell).join(roots, F.col("s") == F.col("node"), "left")
+                  .select("k", "s", "fp", "n", F.coalesce("root", "s").alias("root")), "crowd")
+    mixed = crowd.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(
+        "x <> y").select("k")
+    more = stage(crowd_pairs(crowd.join(mixed, "k", "left_semi"), block), "crowd-pairs")
+    if more.isEmpty():
+        return roots
+    linked = similar(more, own).unionByName(roots.select(F.col("node").alias("a"),
+                                                         F.col("root").alias("b")))
+    return components(linked)
+
+
+def keep_one(docs: DataFrame, max_cell: int = CELL, block: int = CROWD_BLOCK) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: that of the least id, then
+    the least text hash; rows without an id come last, and of equal rows one stays.
+
+    Documents link when their distinct five-word shingles have a Jaccard likeness of ``SIMILAR``
+    or more; groups are what links connect. Candidates share one of their ``LEAST`` smallest
+    shingle hashes, which a linked pair does but for a chance of 0.2 ** 8 (3e-6), and differ in
+    at most ``STAGE_BITS`` of the 256 bits of their fingerprints, where 39 with a deviation of 6
+    is usual at 0.8. Every link is verified on the shingles themselves. Texts without words are
+    one group.
+    """
     schema = docs.schema
-    keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
-    own = stage(fingerprints(keyed, "key"), "fingerprints")
+    own = stage(sketches(docs), "sketches")
+    classes = stage(own.groupBy("s").agg(
+        F.first("fp").alias("fp"), F.first("keys").alias("keys"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")),
+        "classes")
+    roots = near_roots(own, classes, max_cell, block)
     chosen = stage(
-        own.join(grouped(own), F.col("fp") == F.col("c_fp"))
-        .groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id",
-                                            "key")).alias("first"))
+        classes.join(roots, F.col("s") == F.col("node"), "left")
+        .groupBy(F.coalesce("root", "s").alias("root")).agg(F.min("least").alias("first"))
         .select(F.col("first.doc_id").alias("k_id"), F.col("first.key").alias("k_key")), "chosen")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kept = rows.join(chosen, F.col("row.doc_id").eqNullSafe(F.col("k_id"))
