@@ -67,6 +67,27 @@ def test_contained_items(spark, block):
                    for r in found) == slow_pairs(docs, items)
 
 
+def test_repetitive_items_hide_no_other(spark):
+    """Items that repeat themselves a little or much, as long as others by distinct shingles."""
+    r = random.Random(5)
+    items, docs = [], []
+    for k in range(40):
+        text = [f"w{r.randrange(10 ** 6)}" for _ in range(64)]
+        items.append((k, " ".join(text)))
+        docs.append((k, prose(k, 150) + " " + " ".join(text) + " " + prose(k + 50, 150)))
+    period = [f"p{n}" for n in range(60)]
+    items += [(100, " ".join(period * 84)), (101, " ".join([*period[:40], *period[:30]])),
+              (102, "only five words stand here"), (103, "and six words stand in here")]
+    docs += [(100, " ".join(period * 84)), (101, prose(1, 300) + " " + " ".join(period) + " p0 p1 p2"),
+             (102, " ".join(f"{prose(k, 9)} only five words stand here" for k in range(3))),
+             (103, f"{prose(8, 300)} and six words stand in here {prose(9, 30)}")]
+    found = decontaminate.containment_pairs(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["item_id"], r["n_shared"], r["n_shingles"])
+                   for r in found) == slow_pairs(docs, items)
+
+
 def test_decontamination_of_odd_rows(spark, odd, empty):
     items = [(1, prose(0, 12)), (2, "one"), (3, None)]
     bench = spark.createDataFrame(items, "item_id long, text string")

@@ -7,11 +7,15 @@ likeness of an item and the window around it stays high however long the documen
 has a MinHash signature of ``HASHES`` values, and one equal value makes a candidate. Candidates
 are verified by exact containment of shingles over the whole document.
 
-A run of words that holds 0.8 of an item's shingles has a likeness of 0.33 or more with a window
-around it, so it is missed with a chance of 0.67 ** 32, below 3e-6; a whole item is missed with
-a chance below 1e-8. Items whose shingles are strewn over a document are found where one window
+A run of words that holds 0.8 of an item's shingles has a likeness of 0.29 or more with a window
+around it, so it is missed with a chance of 0.71 ** 32, below 2e-5; a whole item is missed with
+a chance below 3e-7. Items whose shingles are strewn over a document are found where one window
 holds enough of them.
 
+Windows do not suit items that repeat a shingle, whose length says nothing of their distinct
+shingles, nor items of fewer than ``FEW`` shingles. These are not in the partitions: every shingle
+of a document is looked up among theirs, which misses none wherever the shingles stand.
+
 Items are taken in blocks of at most ``ITEMS`` rows; a block is what each task holds, so memory is
 bounded however large the benchmark is. Documents are not shuffled.
 
@@ -35,6 +39,7 @@ HASHES = 32
 ITEMS = 20_000
 GROWTH = 1.5
 GRAIN = 4
+FEW = 8
 CHUNK = 1 << 15
 
 
@@ -71,13 +76,18 @@ class Index:
         self.a, self.b = multipliers(HASHES)
         self.items, self.short = [], []
         parts: dict[int, list[int]] = {}
+        looked_up: list[int] = []
         for item_id, text in items:
             words = joined_words(text)[0].split()
             if len(words) >= width:
                 shingles = exact_shingles(words, width)
-                part = int(np.log(len(shingles)) / np.log(GROWTH) + 1e-9)
-                parts.setdefault(part, []).append(len(self.items))
-                self.items.append((item_id, shingles, shingle_hashes(words, width)))
+                hashes = shingle_hashes(words, width)
+                if len(shingles) < len(hashes) or len(shingles) < FEW:
+                    looked_up.append(len(self.items))
+                else:
+                    part = int(np.log(len(shingles)) / np.log(GROWTH) + 1e-9)
+                    parts.setdefault(part, []).append(len(self.items))
+                self.items.append((item_id, shingles, hashes))
             elif words:
                 self.short.append((item_id, b" " + b" ".join(words) + b" "))
         self.parts = []
@@ -93,6 +103,27 @@ class Index:
             seen[values.ravel() & np.uint32(0xFFFFF)] = True
             self.parts.append((step, -(-(longest + step) // GRAIN), keys[order], owner, seen))
         self.overlap = max((p[1] * GRAIN for p in self.parts), default=0)
+        own = [np.unique(self.items[m][2]) for m in looked_up]
+        every = np.concatenate([*own, np.zeros(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
+        self.keys = every[order]
+        self.key_owner = np.repeat(np.array(looked_up, np.int64), [len(x) for x in own])[order]
+        self.distinct = np.array([len(s) for _, s, _ in self.items], np.int64)
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self.keys & np.uint64(0xFFFFF)] = True
+
+    def by_lookup(self, hashes: np.ndarray, at_least: float) -> set[int]:
+        """Items that windows do not suit, of which the document holds enough shingles."""
+        if not len(self.keys):
+            return set()
+        own = np.unique(hashes[self.seen[hashes & np.uint64(0xFFFFF)]])
+        low, high = (np.searchsorted(self.keys, own, side) for side in ("left", "right"))
+        held = low < high
+        places = [np.arange(i, j) for i, j in zip(low[held], high[held])]
+        if not places:
+            return set()
+        items, shared = np.unique(self.key_owner[np.concatenate(places)], return_counts=True)
+        return set(items[shared >= at_least * self.distinct[items]].tolist())
 
     def mixed(self, hashes: np.ndarray) -> np.ndarray:
         """The values of all hash functions, one row each."""
@@ -138,7 +169,8 @@ class Index:
         joined, _ = joined_words(text)
         words = joined.split()
         hits = [(item_id, 1, 1) for item_id, phrase in self.short if phrase in joined]
-        near = self.candidates(shingle_hashes(words, self.width))
+        hashes = shingle_hashes(words, self.width)
+        near = self.candidates(hashes) | self.by_lookup(hashes, at_least)
         if near:
             own = exact_shingles(words, self.width)
             for k in sorted(near):
