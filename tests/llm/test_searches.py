@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -177,6 +178,40 @@ def test_language_of_held_out_texts(frame):
         tuple(x) for x in language.identify(docs, dictionaries).collect()}
 
 
+def test_every_language_is_learned_beside_repeated_ids(frame):
+    """One id in many equal rows and in many different ones, and headers that texts share."""
+    ids = [k for k in range(4000) if zlib.crc32(str(k).encode()) % 5]
+    rows = [(ids[0], speech("aa", 1, 50), "aa")] * 400
+    rows += [(ids[1], speech("aa", 1000 + k, 50), "aa") for k in range(400)]
+    rows += [(k, f"aatext {speech('aa', k, 40)}", "aa") for k in ids[2:40]]
+    rows += [(k, "shared header " * 200 + f"bbtext {speech('bb', k, 300)}", "bb")
+             for k in ids[300:340]]
+    docs = frame([(*r, *[None] * 6) for r in rows])
+    found = language.learn(docs)
+    assert sorted(found) == ["aa", "bb"]
+    assert found["aa"].count(b"aatext") == 38
+    assert len(found["aa"].splitlines()) == language.SAMPLE_DOCS
+    assert len(set(found["aa"].splitlines())) == language.SAMPLE_DOCS
+    # most of what is learned is not the header
+    own = found["bb"].split()
+    assert sum(w in (b"shared", b"header") for w in own) < 0.8 * len(own)
+
+
+def test_labelled_rows_beside_repeated_ids(spark, frame, monkeypatch):
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5][:60]
+    rows = [(ids[0], "same text", *[None] * 7)] * 100
+    rows += [(ids[1], f"text {k}", *[None] * 7) for k in range(100)]
+    rows += [(k, f"text of {k}", *[None] * 7) for k in ids[2:]]
+    marks = spark.createDataFrame([(k, k % 2) for k in ids] * 3, "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_model, "fit", seen.extend)
+    quality_model.learn(frame(rows), marks, sample_rows=80)
+    wanted = [quality_model.features(f"text of {k}")[0].tolist() for k in ids[2:]]
+    got = [s.tolist() for s, _, _ in seen]
+    assert len(got) == 80 and all(x in got for x in wanted)
+    assert got.count(quality_model.features("same text")[0].tolist()) == 1
+
+
 def test_language_of_odd_rows(odd, empty):
     dictionaries = language.learn(odd)
     rows = odd_rows()

@@ -41,6 +41,17 @@ def text_key(text: Column) -> Column:
                     F.octet_length(text).alias("n"))
 
 
+def spread_sample(rows: DataFrame, group: str, n: int) -> DataFrame:
+    """At most ``n`` rows (``group``, doc_id, h) of each group: distinct ones in the order of
+    their hashes, of each id the first before the second of any. ``h`` is a hash of the text."""
+    of_id = W.partitionBy(group, "doc_id").orderBy("h")
+    of_group = W.partitionBy(group).orderBy("turn", F.xxhash64("doc_id"), "doc_id", "h")
+    return (rows.select(group, "doc_id", "h").distinct()
+            .withColumn("turn", F.row_number().over(of_id)).where(F.col("turn") <= n)
+            .withColumn("nth", F.row_number().over(of_group)).where(F.col("nth") <= n)
+            .drop("turn", "nth"))
+
+
 def ranked(df: DataFrame, group: str, ids: list[str], out: str) -> DataFrame:
     """Number the rows of each group from 0 without ever sorting a whole group in one task.
 

@@ -2,8 +2,9 @@
 belongs to the language whose dictionary makes it smallest, and is rejected when the runner-up
 is nearly as small.
 
-Dictionaries are fitted on a bounded sample: at most ``SAMPLE_DOCS`` documents of a language with
-``SAMPLE_CHARS`` characters each. Every text is encoded whole, as lower-case letters with single
+Dictionaries are fitted on a bounded sample: at most ``SAMPLE_DOCS`` distinct texts of a language,
+of as many ids as there are, with ``SAMPLE_CHARS`` characters each; of a longer text these are
+``PIECES`` pieces from its begin to its end. Every text is encoded whole, as lower-case letters with single
 spaces between, in blocks of ``BLOCK`` bytes, so that a long text is judged by its whole length
 and not by what it repeats of itself.
 
@@ -16,14 +17,14 @@ are not looked at; an empty table gives an empty result.
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import documents, held_out, schema_after
+from weekloom.llm.common import documents, held_out, schema_after, spread_sample
 
 SAMPLE_DOCS = 96
 SAMPLE_CHARS = 1500
+PIECES = 5
 BLOCK = 4096
 LEVEL = 9
 MIN_MARGIN = 0.01
@@ -36,26 +37,31 @@ def letters(text: str | None) -> str:
     return NO_LETTERS.sub(" ", (text or "").lower()).strip()
 
 
+def pieces(text: Column, chars: int) -> Column:
+    """The text, or pieces of ``chars`` characters in all spread evenly over a longer one."""
+    size = max(1, chars // PIECES)
+    gap = (F.length(text) - size) / (PIECES - 1)
+    parts = [F.substring(text, F.floor(gap * k).cast("int") + 1, F.lit(size))
+             for k in range(PIECES)]
+    return F.when(F.length(text) <= chars, text).otherwise(F.concat_ws(" ", *parts))
+
+
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS,
           sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """Dictionary of each language, from documents that are not held out.
 
     What reaches the driver is bounded by the two limits for each language.
     """
-    known = docs.select("doc_id", "lang", "text").where(
-        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = (known.select("lang", "doc_id").withColumn("nth", F.row_number().over(order))
-              .where(F.col("nth") <= sample_docs).select("doc_id").collect())
-    texts = (known.where(F.col("doc_id").isin([r["doc_id"] for r in picked]))
-             .select("lang", "doc_id", F.substring("text", 1, sample_chars).alias("text"))
-             .where("text <> ''").orderBy("lang", "doc_id", "text")
-             .limit(len(picked)).collect()) if picked else []
+    known = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("h")).where(
+        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+        & (F.col("text") != ""))
+    picked = spread_sample(known, "lang", sample_docs)
+    texts = (known.join(F.broadcast(picked), ["lang", "doc_id", "h"])
+             .groupBy("lang", "doc_id", "h")
+             .agg(F.first(pieces(F.col("text"), sample_chars)).alias("text")).collect())
     found: dict[str, list] = {}
-    for row in sorted(texts, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        of_lang = found.setdefault(row["lang"], [])
-        if len(of_lang) < sample_docs:
-            of_lang.append(letters(row["text"]))
+    for row in sorted(texts, key=lambda r: (r["lang"], r["doc_id"], r["h"])):
+        found.setdefault(row["lang"], []).append(letters(row["text"]))
     return {lang: "\n".join(parts).encode() for lang, parts in sorted(found.items())}
 
 

@@ -6,7 +6,7 @@ Pairwise interactions have rank ``RANK`` and are scored in linear time by the id
 sum_{i<j} <v_i,v_j> x_i x_j = ((sum v_i x_i)^2 - sum (v_i x_i)^2) / 2, summed over the rank.
 
 The machine is fitted on at most ``SAMPLE_ROWS`` labelled rows that are not held out, those with
-the smallest id hashes. Only their features reach the driver.
+the smallest id hashes; repeated rows count once, and further texts of an id come last. Only their features reach the driver.
 
 Defined cases: a null text counts as empty; an empty text has structure slots only and gets the
 score these give; with nothing to learn from, the score is 0.5; repeated rows repeat; further
@@ -16,6 +16,7 @@ columns are not looked at; an empty table gives an empty result.
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weekloom.llm.common import documents, held_out, schema_after
@@ -114,10 +115,18 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS,
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine | None:
     """The machine for ``quality``; null if no row can be learned from."""
     usable = labels.select("doc_id", "quality").where(
-        F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+        F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     # at most sample_rows pairs of numbers
-    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    known = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "h").distinct()
+    # an id may stand in any number of rows: distinct texts, the first of each id before others
+    turn = F.row_number().over(W.partitionBy("doc_id", "quality").orderBy("h"))
+    picked = (known.withColumn("turn", turn).where(F.col("turn") <= sample_rows)
+              .orderBy("turn", F.xxhash64("doc_id"), "doc_id", "quality", "h")
+              .limit(sample_rows).drop("turn"))
+    known = texts.join(F.broadcast(picked), ["doc_id", "h"]).groupBy("doc_id", "quality", "h").agg(
+        F.first("text").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -131,8 +140,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     rows = known.select("doc_id", "text", "quality").mapInArrow(run, schema_after(
         docs, ["doc_id"], "slots array<long>, x array<double>, y int"))
-    # an id may stand in any number of rows, so the bound is set again
-    rows = rows.orderBy("doc_id", "y", "slots").limit(sample_rows).toArrow()
+    rows = rows.orderBy("doc_id", "y", "slots").toArrow()
     data = [(rows["slots"][k].values.to_numpy(), rows["x"][k].values.to_numpy(),
              int(rows["y"][k].as_py() == 1)) for k in range(rows.num_rows)]
     return fit(data) if data else None
