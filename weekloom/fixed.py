@@ -411,6 +411,7 @@ SOURCE_SUFFIXES = [".xlsx", ".csv", ".tsv"]
 MAX_CANDIDATE_FILES = 256
 KEYWORD_LIMIT = 100
 MAX_SOURCE_BYTES = 256 * 1024 * 1024
+MAX_ARCHIVE_BYTES = 1024 * 1024 * 1024
 HEADER_SCAN_ROWS = 20
 BLANK_TAIL_ROWS = 100
 DIALECT_PROBE_CHARS = 4096

@@ -1,5 +1,5 @@
-"""From a folder of exports to keyed raw rows: one bundle per folder, profile and period found in
-the files themselves."""
+"""From a folder of exports to keyed raw rows: one bundle per folder or archive, profile and
+period found in the files themselves."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,34 +9,9 @@ from weekloom.functions.text import normalize_header
 from weekloom.issues import FIELDS, issue
 from weekloom.operators.facts import normalize_text
 from weekloom.operators.recognize import bundle_period, match_profiles, recognize, value
+from weekloom.plans import discovery as D
 from weekloom.plans.weekly import weekly_report
 from weekloom.session import cut
-from weekloom.sources import readers
-
-PENDING = {"market": "", "period_start": "1970-01-01", "period_end": "1970-01-01"}
-
-
-def raw_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(bundle_id, file, sheet, row_no, cells) of every export below ``path``.
-
-    The folder of a file is its bundle. Files are decoded once and the rows written.
-    """
-    files = readers.list_files(spark, path).where("lower(path) not like '%.zip'")
-    book = F.lower("path").rlike(r"\.xls[xm]?\z")
-    rows = readers.read_delimited(files.where(~book), ["path"]).unionByName(
-        readers.read_workbooks(files.where(book), ["path"]))
-    return cut(rows.select(
-        F.regexp_extract("path", r"\A(.*)/[^/]*\z", 1).alias("bundle_id"),
-        F.regexp_extract("path", r"([^/]*)\z", 1).alias("file"), "sheet", "row_no", "cells",
-        "error"))
-
-
-def provisional(raw: DataFrame) -> DataFrame:
-    """Rows under a key that says only which bundle they are of."""
-    return raw.where("error is null").select(
-        "bundle_id", F.lit(PENDING["market"]).alias("market"),
-        *[F.lit(PENDING[c]).cast("date").alias(c) for c in ("period_start", "period_end")],
-        "file", "sheet", "row_no", "cells")
 
 
 def resolved_profiles(rows: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -58,35 +33,57 @@ def resolved_profiles(rows: DataFrame, profiles: DataFrame) -> DataFrame:
                                          F.count("*").alias("n_profiles"))
 
 
-def keyed_rows(raw: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(raw rows with full keys, issues of bundles that have none).
+def keyed_rows(found: dict[str, DataFrame], profiles: DataFrame
+               ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(raw rows with full keys, what keeps bundles from having one, what discovery says against
+    any bundle); ``found`` as ``decoded`` gives it.
 
-    The period is that of the overall file and the market that of the one fitting profile.
+    The period is that of the overall file and the market that of the one fitting profile. The
+    bundles are those of the listing, so one in which nothing could be read is here too.
     """
-    found = recognize(provisional(raw))
-    period = found["tables"].where("kind = 'overall'").select(
+    raw = found["rows"]
+    known = recognize(D.provisional(raw))
+    period = known["tables"].where("kind = 'overall'").select(
         "bundle_id", F.col("source_start").alias("start"), F.col("source_end").alias("end"))
-    agreed = bundle_period(found["tables"]).select("bundle_id", "agreed")
-    bundles = cut(found["per_kind"].select("bundle_id").distinct()
+    agreed = bundle_period(known["tables"]).select("bundle_id", "agreed")
+    bundles = cut(found["bundles"]
                   .join(period, "bundle_id", "left").join(agreed, "bundle_id", "left")
-                  .join(resolved_profiles(found["rows"], profiles), "bundle_id", "left"))
+                  .join(resolved_profiles(known["rows"], profiles), "bundle_id", "left"))
     good = bundles.where("n_profiles = 1 and start is not null and end is not null")
-    keys = good.select("bundle_id", "market", F.col("start").alias("period_start"),
-                       F.col("end").alias("period_end"))
-    lost = bundles.join(keys.select("bundle_id"), "bundle_id", "left_anti").select(
-        "*", F.coalesce("market", F.lit("")).alias("m"))
+    keys = cut(good.select("bundle_id", "market", F.col("start").alias("period_start"),
+                           F.col("end").alias("period_end")))
+    lost = bundles.join(keys.select("bundle_id"), "bundle_id", "left_anti")
     code = (F.when(F.col("n_profiles").isNull(), "NO_PROFILE")
             .when(F.col("n_profiles") > 1, "AMBIGUOUS_PROFILE").otherwise("OVERALL_PERIOD_MISSING"))
     named = lost.select("bundle_id", F.lit("").alias("market"), F.col("start").alias("period_start"),
                         F.col("end").alias("period_end"), "n_profiles", code.alias("code"))
     problems = issue(named, "ERROR", F.col("code"), "profile", actual=F.coalesce(
         "n_profiles", F.lit(0)), expected=F.lit(1)).select(*KEY, *FIELDS)
-    rows = provisional(raw).drop("market", "period_start", "period_end").join(keys, "bundle_id")
-    return rows.select(*KEY, "file", "sheet", "row_no", "cells"), problems
-
-
-def weekly_from_files(spark: SparkSession, path: str, profiles: DataFrame, history: DataFrame
-                      ) -> dict:
-    """The weekly job over a folder of exports; ``unkeyed`` lists bundles left out and why."""
-    rows, problems = keyed_rows(raw_rows(spark, path), profiles)
-    return {**weekly_report(cut(rows), profiles, history), "unkeyed": cut(problems)}
+    said = D.discovery_issues(found).select("bundle_id", *FIELDS)
+    # of keyed bundles the report itself says which kinds are missing
+    said = named.select(*KEY).join(said, "bundle_id").unionByName(
+        keys.join(said.where("code = 'UNRECOGNIZED_SOURCE'"), "bundle_id"))
+    rows = raw.join(keys, "bundle_id")
+    return (rows.select(*KEY, "file", "sheet", "row_no", "cells"), problems,
+            said.select(*KEY, *FIELDS))
+
+
+def weekly_from_decoded(found: dict[str, DataFrame], profiles: DataFrame, history: DataFrame
+                        ) -> dict:
+    """The weekly job over decoded files. ``issues`` holds what discovery says against keyed
+    bundles too; ``unkeyed`` the bundles left out and why, ``source_issues`` what discovery says
+    against these; ``sources`` the digest of each bundle."""
+    rows, problems, said = keyed_rows(found, profiles)
+    said = cut(said)
+    result = weekly_report(cut(rows), profiles, history)
+    return {**result, "issues": result["issues"].unionByName(said.where("market <> ''")),
+            "unkeyed": cut(problems), "source_issues": said.where("market = ''"),
+            "discovery": found["files"], "bundles": found["bundles"],
+            "sources": cut(D.bundle_digests(found))}
+
+
+def weekly_from_files(spark: SparkSession, path: str, profiles: DataFrame, history: DataFrame,
+                      listing: DataFrame | None = None) -> dict:
+    """The weekly job over a folder: its folders and its archives are the bundles."""
+    asked = D.listed(spark, path) if listing is None else listing
+    return weekly_from_decoded(D.decoded(cut(asked), D.contents(spark, path)), profiles, history)

@@ -1,10 +1,14 @@
 """Delimited files, workbooks and archives as raw rows, decoded inside Spark tasks.
 
 Each function takes rows that carry a file's bytes, as ``binaryFile`` gives them; one file is
-decoded by one task and its rows leave in batches.
+decoded by one task and its rows leave in batches bounded by rows and by bytes.
+
+``decode_files`` and the archive functions give a typed stream: beside its rows every file leaves
+exactly one record of its own that says whether it was read, so that no file is lost on the way.
 """
 
 import csv
+import hashlib
 import io
 import re
 import zipfile
@@ -19,6 +23,7 @@ from weekloom import fixed
 
 CELL = "struct<s:string,t:string>"
 BATCH = 5000
+BATCH_BYTES = 1 << 24
 
 
 def oversized_files(spark: SparkSession, path: str, limit: int = fixed.MAX_SOURCE_BYTES
@@ -45,24 +50,34 @@ def _schema(files: DataFrame, carried: list[str], added: str) -> str:
     return f"{kept},{added}"
 
 
-def _decode_rows(files, carried, decode, added, columns):
-    """Run ``decode(content)`` per file, yielding tuples, and send them on in batches."""
-    names = [*carried, *columns]
+def _weight(value) -> int:
+    """Bytes that a value holds, about."""
+    if isinstance(value, (str, bytes)):
+        return len(value)
+    if isinstance(value, list):
+        return sum(32 + len(c["s"] or "") for c in value)
+    return 8
+
+
+def _decode_rows(files, carried, decode, added, columns, given=()):
+    """Run ``decode(content, *given)`` per file, yielding tuples, and send them on in batches."""
+    names, picked = [*carried, *columns], [*dict.fromkeys([*carried, *given])]
 
     def run(batches):
-        rows = []
+        rows, held = [], 0
         for batch in batches:
-            for record in batch.itertuples(index=False):
-                keys = [getattr(record, c) for c in carried]
-                for row in decode(record.content):
+            for record in batch.to_dict("records"):
+                keys = [record[c] for c in carried]
+                for row in decode(record["content"], *[record[c] for c in given]):
                     rows.append((*keys, *row))
-                    if len(rows) >= BATCH:
+                    held += sum(map(_weight, row))
+                    if len(rows) >= BATCH or held >= BATCH_BYTES:
                         yield pd.DataFrame(rows, columns=names)
-                        rows = []
+                        rows, held = [], 0
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
-    return files.select(*carried, "content").mapInPandas(run, _schema(files, carried, added))
+    return files.select(*picked, "content").mapInPandas(run, _schema(files, carried, added))
 
 
 ROW_SCHEMA = f"sheet string,row_no bigint,cells array<{CELL}>,error string"
@@ -223,6 +238,48 @@ def read_workbooks(files: DataFrame, carried: list[str]) -> DataFrame:
     return _decode_rows(files, carried, _workbook, ROW_SCHEMA, ROW_COLUMNS)
 
 
+# --- files of any kind, as a stream of rows and file records ------------------------------
+
+STREAM_SCHEMA = f"record string,sheet string,row_no bigint,cells array<{CELL}>,error string," \
+                "n_rows bigint"
+STREAM_COLUMNS = ["record", "sheet", "row_no", "cells", "error", "n_rows"]
+
+
+def _filled(cells) -> bool:
+    return any(c["s"] is not None and c["s"].strip() for c in cells)
+
+
+def _stream(payload: bytes, name: str, probe: bool = False):
+    """The rows of one file and then its own record. A probe ends each sheet at the first filled
+    row below those that can hold a header, which is enough to classify it."""
+    decode = _workbook if _suffix(name) == ".xlsx" else _delimited
+    error, n, done = None, 0, set()
+    try:
+        for sheet, number, cells, problem in decode(payload):
+            if problem is not None:
+                error = problem
+                continue
+            if sheet in done:
+                continue
+            below = number > fixed.HEADER_SCAN_ROWS
+            if probe and below and not _filled(cells):
+                continue
+            n += 1
+            yield ("row", sheet, number, cells, None, None)
+            if probe and below:
+                if decode is _delimited:
+                    break
+                done.add(sheet)
+    except Exception as problem:  # whatever a file does, it is listed and stops nothing
+        error = f"{type(problem).__name__}: {problem}"[:1000]
+    yield ("file", None, None, None, error, n)
+
+
+def decode_files(files: DataFrame, carried: list[str], name: str = "file") -> DataFrame:
+    """The stream of every file; the column ``name`` tells its format by its suffix."""
+    return _decode_rows(files, carried, _stream, STREAM_SCHEMA, STREAM_COLUMNS, [name])
+
+
 # --- archives ---------------------------------------------------------------------------
 
 MEMBER_SCHEMA = "nested string,member string,content binary,error string"
@@ -266,6 +323,87 @@ def expand_archives(files: DataFrame, carried: list[str]) -> DataFrame:
     return _decode_rows(files, carried, _members, MEMBER_SCHEMA, MEMBER_COLUMNS)
 
 
+LEVEL_SCHEMA = f"nested string,member string,{STREAM_SCHEMA}"
+LEVEL_COLUMNS = ["nested", "member", *STREAM_COLUMNS]
+
+
+def _level(archive, nested, probe):
+    """The streams of the source files of one archive level."""
+    for info in archive.infolist():
+        if not _wanted(info) or _suffix(info.filename) not in fixed.SOURCE_SUFFIXES:
+            continue
+        if info.flag_bits & 1:
+            problem = "encrypted"
+        elif info.file_size > fixed.MAX_SOURCE_BYTES:
+            problem = "larger than the size limit"
+        else:
+            try:
+                payload, problem = archive.read(info), None
+            except Exception as error:
+                problem = f"{type(error).__name__}: {error}"[:1000]
+        if problem is not None:
+            yield (nested, info.filename, "file", None, None, None, problem, 0)
+            continue
+        for item in _stream(payload, info.filename, probe):
+            yield (nested, info.filename, *item)
+
+
+def _nested(archive):
+    """(name, payload or None, problem) of the archives inside an archive, one at a time."""
+    for info in archive.infolist():
+        if not _wanted(info) or _suffix(info.filename) != ".zip":
+            continue
+        if info.flag_bits & 1 or info.file_size > fixed.MAX_SOURCE_BYTES:
+            yield info.filename, None, "encrypted or larger than the size limit"
+            continue
+        try:
+            yield info.filename, archive.read(info), None
+        except Exception as error:
+            yield info.filename, None, f"{type(error).__name__}: {error}"[:1000]
+
+
+def _probe(payload: bytes):
+    """Header probes of all levels. A level that cannot be opened leaves a file record without
+    a member."""
+    try:
+        outer = zipfile.ZipFile(io.BytesIO(payload))
+    except Exception as error:
+        yield (None, None, "file", None, None, None, f"{type(error).__name__}: {error}"[:1000], 0)
+        return
+    with outer:
+        yield from _level(outer, None, True)
+        for name, inner, problem in _nested(outer):
+            try:
+                if problem is None:
+                    with zipfile.ZipFile(io.BytesIO(inner)) as archive:
+                        yield from _level(archive, name, True)
+            except zipfile.BadZipFile as error:
+                problem = str(error)
+            if problem is not None:
+                yield (name, None, "file", None, None, None, problem, 0)
+
+
+def probe_archives(files: DataFrame, carried: list[str]) -> DataFrame:
+    """The streams of all members of all levels, each cut off where it can be classified."""
+    return _decode_rows(files, carried, _probe, LEVEL_SCHEMA, LEVEL_COLUMNS)
+
+
+def _chosen(payload: bytes, nested):
+    nested = nested if isinstance(nested, str) else None
+    with zipfile.ZipFile(io.BytesIO(payload)) as archive:
+        if nested is not None:
+            payload = archive.read(nested)
+    with zipfile.ZipFile(io.BytesIO(payload)) as archive:
+        yield (nested, None, "archive", hashlib.sha256(payload).hexdigest(), None, None, None, 0)
+        yield from _level(archive, nested, False)
+
+
+def decode_archives(files: DataFrame, carried: list[str]) -> DataFrame:
+    """The streams of the members of one level, named by ``nested`` (null: the archive itself);
+    a record ``archive`` carries the digest of that level's bytes in place of a sheet."""
+    return _decode_rows(files, carried, _chosen, LEVEL_SCHEMA, LEVEL_COLUMNS, ["nested"])
+
+
 def choose_bundle(status: DataFrame, by: list[str]) -> DataFrame:
     """The archive level to use: the outer one if complete, else the only complete inner one.
 
