@@ -322,8 +322,7 @@ def rule_keywords(spark, sf):
 
 @once
 def lineage(spark, sf):
-    got, _ = found(spark, sf)
-    return cut(L.build_lineage(got["rows"], staged_facts(spark, sf), reports(spark, sf)))
+    return cut(L.build_lineage(staged_facts(spark, sf), reports(spark, sf)))
 
 
 @check("rule_lineage", ads.BASE + " union all ".join([
@@ -376,17 +375,87 @@ def lineage_rows(spark, sf):
                                      F.size("sources").alias("cells"))
 
 
-@check("lineage_cells", ads.BASE + """
-select market, period_start, 'CSV' as sheet, cast(m % 3 + 2 as bigint) as row_no,
-       'C' || (m % 3 + 2) as cell, 'Amount spent (USD)' as header, amount_spent as amount
-from overall_x""")
+DATES = [fixed.START_HEADER, fixed.END_HEADER]
+COSTS = ["Cost per purchase", "Cost per add to cart"]
+PRICES = [fixed.CTR, fixed.CPM, fixed.CPC]
+#: columns of the exports, and the place of a fact's row below the first one
+EXPORTS = {
+    "overall": (["Starts", "Ends", fixed.SPENT, fixed.VALUE, fixed.ROAS, "Purchases",
+                 "Adds to cart", *COSTS, "Link clicks", fixed.CTR, *DATES], "overall_x", "0"),
+    "daily": (["Day", "Adds to cart", "Purchases", fixed.ROAS, fixed.SPENT, fixed.VALUE, *DATES],
+              "daily_x", "datediff('day', day, period_end)"),
+    "summary": (["Campaign name", "Name", "Adds to cart", "Purchases", fixed.ROAS,
+                 "Average purchases conversion value", fixed.VALUE, fixed.SPENT, *DATES],
+                "summary_x", "idx"),
+    "campaign": (["Campaign name", fixed.SPENT, fixed.VALUE, fixed.ROAS, "Purchases",
+                  "Adds to cart", *COSTS, "Purchases rate per landing page views",
+                  "Add to cart Rate", "Impressions", "Link clicks", *PRICES, None, *DATES],
+                 "campaign_x", "idx"),
+    "creative": (["Ads", "Campaign name", fixed.SPENT, fixed.CPM, fixed.CPC, fixed.CTR,
+                  *COSTS[::-1], fixed.ROAS, None, "Adds to cart", "Purchases", *DATES],
+                 "creative_x", "idx * 7"),
+    "traffic": (["Campaign name", fixed.SPENT, "Purchases", "Adds to cart", "Impressions",
+                 "Link clicks", *PRICES, "Landing page views", "Cost per landing page view",
+                 "Landing page views rate per link clicks", *DATES], "traffic_x", "idx"),
+    "audience": (["Ad Set Name", "Adds to cart", "Purchases", fixed.ROAS, fixed.VALUE, fixed.SPENT,
+                  *DATES], "audience_x", "idx"),
+    "keywords": (["Keyword", "Conversions", "Conv. value / cost", "Cost", "Conv. value"],
+                 "keyword_x", "cast(substr(keyword, 4) as bigint)")}
+HEADS = {"overall": ["'current_overall'"], "daily": ["'daily.' || idx"],
+         "summary": ["'product_summaries.' || idx", "'product_analyses.' || idx || '.summary'"],
+         "campaign": ["'product_analyses.' || idx || '.campaign'"],
+         "creative": ["'product_analyses.' || idx || '.creative'"],
+         "traffic": ["'traffic.' || idx"], "audience": ["'audience.' || idx"],
+         "keywords": ["'keywords.' || (\"rank\" - 1)"]}
+
+
+def cells_sql():
+    """Every cell that a published field is read from."""
+    parts = []
+    average = "case m % 2 when 0 then '{}' else '{}' end".format(*fixed.AVERAGE_VALUE_HEADERS[:2])
+
+    def part(section, head, field, nth, header, amount):
+        columns, source, offset = EXPORTS[section]
+        letter = chr(65 + columns.index(header))
+        parts.append(
+            f"select market, period_start, {head} || '.{field}' as target, "
+            f"cast({nth} as int) as nth, 'CSV' as sheet, m % 3 + 2 + 2 * ({offset}) as row_no, "
+            f"'{letter}' || (m % 3 + 2 + 2 * ({offset})) as cell, "
+            + (f"'{header}'" if header else average) + f" as header, {amount} as amount "
+            f"from (select *, cast(substr(market, 2) as bigint) as m from {source})"
+            if section != "overall" else
+            f"select market, period_start, {head} || '.{field}', {nth}, 'CSV', m % 3 + 2, "
+            f"'{letter}' || (m % 3 + 2), '{header}', {amount} from overall_x")
+
+    for section, heads in HEADS.items():
+        for field, (header, kind) in fixed.SECTION_FIELDS[section].items():
+            plain = kind not in ("text", "keyword", "date") and (
+                section, field) not in L.TRANSFORMS
+            for head in heads:
+                part(section, head, field, 0, header,
+                     f"cast({field} as double)" if plain else "cast(null as double)")
+    for nth, (header, field) in enumerate((("Adds to cart", "adds_to_cart"),
+                                           ("Link clicks", "link_clicks"))):
+        part("overall", HEADS["overall"][0], "add_to_cart_rate", nth, header,
+             f"cast({field} as double)")
+    for field, header in zip(("period_start", "period_end"), DATES):
+        part("overall", HEADS["overall"][0], field, 0, header, "cast(null as double)")
+    named = [p for p in parts if " as target" in p]
+    return ads.BASE + " union all ".join(named + [p for p in parts if " as target" not in p])
+
+
+@check("lineage_cells", cells_sql())
 def lineage_cells(spark, sf):
-    spent = lineage(spark, sf).where("target = 'current_overall.amount_spent'")
+    """All source cells of all targets: where they stand, under which header, and their amount."""
     from weekloom.functions.numbers import parse_number
-    s = F.col("sources")[0]
-    return spent.select("market", "period_start", s["sheet"].alias("sheet"),
-                        s["row"].alias("row_no"), s["cell"].alias("cell"),
-                        s["header"].alias("header"), parse_number(s["raw_value"]).alias("amount"))
+
+    cells = lineage(spark, sf).select(
+        "market", "period_start", "target", "transform", F.posexplode("sources").alias("nth", "c")
+    ).where("c.source_kind = 'bundle'")
+    read = F.col("transform").isin(fixed.IDENTITY, fixed.CART_RATE)
+    return cells.select(
+        "market", "period_start", "target", "nth", "c.sheet", F.col("c.row").alias("row_no"),
+        "c.cell", "c.header", F.when(read, parse_number(F.col("c.raw_value"))).alias("amount"))
 
 
 @once

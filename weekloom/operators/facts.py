@@ -18,28 +18,39 @@ def cell_of(header: str | None, vendor: str | None = None) -> Column:
     return average_value_cell(vendor) if header is None else value(header)
 
 
+def section_headers(section: str) -> list[str | None]:
+    """The headers whose cells a fact of the section carries: those of its fields, and for the
+    overall row those of its period."""
+    more = [fixed.START_HEADER, fixed.END_HEADER] if section == "overall" else []
+    return [header for header, _ in fixed.SECTION_FIELDS[section].values()] + more
+
+
 def typed(rows: DataFrame, section: str, keep: list[str] | None = None,
           vendor: str | None = None) -> DataFrame:
     """Parse the section's fields; ``bad_fields`` names those that do not parse.
 
-    Numbers are parsed over one array of cells and rounded to integers in a second step, so
-    that each cell is parsed once.
+    The cells a fact is read from travel with it as ``cells``, in the order of
+    ``section_headers``, so that its lineage needs no look back at the rows. Each cell is looked
+    up once; numbers are parsed over one array and rounded to integers in a second step.
     """
     keep = keep or []
     fields = fixed.SECTION_FIELDS[section]
+    place = {name: at for at, name in enumerate(fields)}
     numeric = [n for n, (_, kind) in fields.items()
                if kind not in ("text", "keyword", "date")]
+    cells = F.array(*[cell_of(h, vendor) for h in section_headers(section)])
+    df = rows.select(*ROW, *keep, cells.alias("cells"))
     first = []
-    for name, (header, kind) in fields.items():
-        text = cell_of(header, vendor)["s"]
+    for name, (_, kind) in fields.items():
+        text = F.col("cells")[place[name]]["s"]
         if kind == "text":
             first.append(strip(text).alias(name))
         elif kind == "keyword":
             first.append(clean_keyword(text).alias(name))
         elif kind == "date":
             first.append(parse_date(text).alias(name))
-    cells = F.array(*[cell_of(fields[n][0], vendor) for n in numeric])
-    df = rows.select(*ROW, *keep, *first, cells.alias("_cells"))
+    picked = F.array(*[F.col("cells")[place[n]] for n in numeric])
+    df = df.select(*ROW, *keep, *first, "cells", picked.alias("_cells"))
     df = df.withColumn("_numbers", F.transform("_cells", lambda c: parse_number(c["s"], c["t"])))
     second, bad = [], []
     for name, (_, kind) in fields.items():
@@ -58,7 +69,7 @@ def typed(rows: DataFrame, section: str, keep: list[str] | None = None,
         else:
             second.append(F.col(name))
         bad.append(F.when(missing, F.lit(name)))
-    df = df.select(*ROW, *keep, *second, "_cells")
+    df = df.select(*ROW, *keep, *second, "cells", "_cells")
     return df.withColumn("bad_fields", F.array_compact(F.array(*bad))).drop("_cells")
 
 

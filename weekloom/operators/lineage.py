@@ -5,8 +5,6 @@ from pyspark.sql import functions as F
 
 from weekloom import KEY, fixed
 from weekloom.functions.numbers import cell_reference
-from weekloom.operators.facts import ROW
-from weekloom.operators.recognize import header_key
 
 TRANSFORMS = {("campaign", "purchase_rate"): fixed.TIMES_100,
               ("campaign", "add_to_cart_rate"): fixed.TIMES_100,
@@ -38,40 +36,28 @@ def source_cell(cell: Column) -> Column:
                     cell["header"].alias("header"), cell["s"].alias("raw_value"))
 
 
-def header_choices(header: str | None, vendor: str | None) -> list[str]:
-    """Header keys a field may be read from, by priority."""
-    if header is not None:
-        return [header_key(header)]
-    names = list(fixed.AVERAGE_VALUE_HEADERS)
-    if vendor:
-        names.append(fixed.VENDOR_AVERAGE_VALUE_HEADER.format(vendor=vendor))
-    return [header_key(n) for n in names]
-
-
-def section_lineage(rows: DataFrame, facts: DataFrame, section: str,
-                    vendor: str | None = None) -> DataFrame:
-    """Each field of each fact row with the cell it was read from."""
-    placed = facts.select(*ROW, F.array(*prefixes(section)).alias("prefixes"))
-    joined = rows.where(F.col("kind") == fixed.SECTION_KIND[section]).join(placed, ROW)
-    entries = [(name, TRANSFORMS.get((section, name), fixed.IDENTITY), [header])
-               for name, (header, _) in fixed.SECTION_FIELDS[section].items()]
+def section_lineage(facts: DataFrame, section: str) -> DataFrame:
+    """Each field of each fact row with the cells it was read from, which the row carries."""
+    fields = list(fixed.SECTION_FIELDS[section])
+    entries = [(name, TRANSFORMS.get((section, name), fixed.IDENTITY), [at])
+               for at, name in enumerate(fields)]
     if section == "overall":
-        entries += [("add_to_cart_rate", fixed.CART_RATE, ["Adds to cart", "Link clicks"]),
-                    ("period_start", fixed.ISO_DATE, [fixed.START_HEADER]),
-                    ("period_end", fixed.ISO_DATE, [fixed.END_HEADER])]
+        place = {name: at for at, name in enumerate(fields)}
+        entries += [("add_to_cart_rate", fixed.CART_RATE,
+                     [place["adds_to_cart"], place["link_clicks"]]),
+                    ("period_start", fixed.ISO_DATE, [len(fields)]),
+                    ("period_end", fixed.ISO_DATE, [len(fields) + 1])]
     plan = F.array(*[F.struct(
         F.lit(name).alias("field"), F.lit(transform).alias("transform"),
-        F.array(*[F.array(*[F.lit(k) for k in header_choices(h, vendor)]) for h in headers])
-        .alias("headers")) for name, transform, headers in entries])
-    # the plan of fields is exploded first, so one small lookup serves every field
-    spread = joined.withColumn("e", F.explode(plan)).withColumn("p", F.explode("prefixes"))
-    cells = F.transform("e.headers", lambda keys: F.get(F.array_compact(F.transform(
-        keys, lambda k: F.try_element_at("values", k))), F.lit(0)))
-    spread = spread.withColumn("cells", cells)
-    return spread.select(
-        *KEY, F.concat("p", F.lit("."), "e.field").alias("target"),
-        F.col("e.transform").alias("transform"),
-        F.transform("cells", source_cell).alias("sources"))
+        F.array(*[F.lit(at) for at in places]).alias("places"))
+        for name, transform, places in entries])
+    placed = facts.select(*KEY, "file", "sheet", "row_no", "cells",
+                          F.explode(F.array(*prefixes(section))).alias("p"))
+    spread = placed.withColumn("e", F.explode(plan)).withColumn(
+        "picked", F.transform("e.places", lambda at: F.get("cells", at)))
+    return spread.select(*KEY, F.concat("p", F.lit("."), "e.field").alias("target"),
+                         F.col("e.transform").alias("transform"),
+                         F.transform("picked", source_cell).alias("sources"))
 
 
 def history_lineage(reports: DataFrame) -> DataFrame:
@@ -95,11 +81,11 @@ def history_lineage(reports: DataFrame) -> DataFrame:
         F.lit(fixed.FROM_HISTORY).alias("transform"), F.col("e.sources").alias("sources"))
 
 
-def build_lineage(rows: DataFrame, facts: dict[str, DataFrame], reports: DataFrame,
-                  vendor: str | None = None) -> DataFrame:
+def build_lineage(facts: dict[str, DataFrame], reports: DataFrame) -> DataFrame:
+    """Lineage of all sections: facts are unpivoted, nothing is joined or shuffled."""
     result = history_lineage(reports)
     for section in fixed.SECTION_FIELDS:
-        result = result.unionByName(section_lineage(rows, facts[section], section, vendor))
+        result = result.unionByName(section_lineage(facts[section], section))
     return result
 
 

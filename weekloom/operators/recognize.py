@@ -195,15 +195,16 @@ def recognize(raw: DataFrame) -> dict[str, DataFrame]:
     """Classify every file, keep the one table of each kind, and list what is wrong."""
     # each stage is read by several later ones, so it is written once
     heads = cut(table_headers(header_rows(raw)))
-    rows = cut(table_rows(raw, heads))
+    rows = table_rows(raw, heads)
     tables = cut(source_tables(heads, rows))
     files = file_status(raw.select(*KEY, "file").distinct(), tables)
     good = files.where("recognized").select(*KEY, "file", "kind")
     per_kind = cut(completeness(raw.select(*KEY).distinct(), good))
     chosen = per_kind.where("n_files = 1").select(*KEY, "kind", "file")
     pick = lambda df: df.join(chosen, [*KEY, "kind", "file"], "left_semi")
-    return {"heads": heads, "tables": pick(tables), "rows": pick(rows), "files": files,
-            "per_kind": per_kind, "issues": completeness_issues(per_kind)}
+    # only rows that count are written, apart by kind: a section reads its own kind and no other
+    return {"heads": heads, "tables": cut(pick(tables)), "rows": cut(pick(rows), by="kind"),
+            "files": files, "per_kind": per_kind, "issues": completeness_issues(per_kind)}
 
 
 def bundle_period(tables: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def weekly_report(raw: DataFrame, profiles: DataFrame, history: DataFrame,
     asked, profiles = profiles, U.single_profiles(profiles)
     facts = cut_all(A.build_facts(found, profiles, vendor))
     reports = cut(report_rows(facts["overall"], profiles, history))
-    lineage = cut(L.build_lineage(found["rows"], facts, reports, vendor))
+    lineage = cut(L.build_lineage(facts, reports))
     issues = check_report(found, facts, reports, profiles, lineage, asked)
     return {"found": found, "facts": facts, "reports": reports, "lineage": lineage,
             "issues": issues, "verdict": verdict(found["per_kind"], issues)}

@@ -37,15 +37,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write the frame to the shared folder once, so that later stages read it back.
 
-    Stages are Parquet: compressed, and read by column and filter. They live as long as the
+    With ``by``, a column of few values, rows lie apart by its value, and a stage that asks for
+    one of them reads no others. Stages are Parquet: compressed, and read by column and filter. They live as long as the
     folder, whose lifetime is the cluster's to set.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
