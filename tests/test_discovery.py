@@ -150,7 +150,7 @@ def test_all_reasons_of_a_supplied_listing(spark):
     content = spark.createDataFrame(
         [("/r/a.csv", b"x,y\n1,2\n")] + [(f"/{b}/{k}.csv", b"") for b in ("many", "full")
                                          for k in range(257)], "path string, content binary")
-    found = discovery.decoded(spark.createDataFrame(rows, LISTING), content)
+    found = discovery.decoded(discovery.triaged(spark.createDataFrame(rows, LISTING)), content)
     counts = {(r.bundle_id, r.reason): r.n for r in discovery.reason_counts(found["files"]).collect()}
     assert counts == {
         ("r", "hidden_or_system"): 3, ("r", "temporary"): 2, ("r", "symbolic_link"): 1,
@@ -165,7 +165,7 @@ def test_all_reasons_of_a_supplied_listing(spark):
 def test_a_listed_file_that_is_gone_is_named(spark):
     listing = spark.createDataFrame([("r", "a.csv", "/r/a.csv", 5, False, True)], LISTING)
     none = spark.createDataFrame([], "path string, content binary")
-    row = discovery.decoded(listing, none)["files"].first()
+    row = discovery.decoded(discovery.triaged(listing), none)["files"].first()
     assert (row.file, row.reason, row.detail) == ("a.csv", "unrecognized_source",
                                                   "could not be read")
 

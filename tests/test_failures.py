@@ -156,8 +156,10 @@ def test_the_next_run_compares_with_what_was_published(spark, tmp_path):
     publish.publish(spark, second, folder, 3)
     kept = publish.stored_records(spark, folder).collect()
     assert {(r.bundle_id, r.load_ts) for r in kept} == {("w1", 1), ("w2", 3)}
-    assert spark.read.json(f"{folder}/reports").count() == 2
-    assert spark.read.parquet(f"{folder}/mart").select("bundle_id").distinct().count() == 2
+    assert publish.stored(spark, folder, "reports").count() == 2
+    assert publish.stored(spark, folder, "mart").select("bundle_id").distinct().count() == 2
+    publish.export_reports(spark, folder, f"{folder}/json")
+    assert spark.read.text(f"{folder}/json", wholetext=True).count() == 2
 
 
 def test_folders_of_files_become_reports(spark, tmp_path):

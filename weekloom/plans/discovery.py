@@ -156,11 +156,34 @@ def chosen_levels(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
     return choice.where("resolved").select("bundle_id", "nested"), lost
 
 
-def decoded(listing: DataFrame, content: DataFrame) -> dict[str, DataFrame]:
+def fingerprints(asked: DataFrame, content: DataFrame, context: str = "") -> DataFrame:
+    """(bundle_id, files_sha256) of the bytes of each bundle, without decoding any.
+
+    Candidates that are too large count by name and length. ``context`` stands for all else that
+    decides on a result, such as the version of the profiles. Bundles above the candidate limit
+    or with nothing to read have none. ``asked`` is a triaged listing.
+    """
+    of_file = asked.where(F.col("reason").isNull()).join(content, "path").select(
+        "bundle_id", "file", F.sha2("content", 256).alias("d"))
+    large = asked.where(F.col("reason").isin(NOT_CLASSIFIED)).select(
+        "bundle_id", "file", F.col("length").cast("string").alias("d"))
+    # the candidate limit bounds the list
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("file", "d"))), lambda x: F.concat_ws(
+        " ", x["file"], x["d"]))
+    return of_file.unionByName(large).groupBy("bundle_id").agg(F.sha2(F.array_join(F.concat(
+        F.array(F.lit(context)), lines), "\n"), 256).alias("files_sha256"))
+
+
+def changed_bundles(prints: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The bundles of ``prints`` whose bytes are not those of their last outcome."""
+    known = outcomes.where("files_sha256 is not null").select("bundle_id", "files_sha256")
+    return prints.join(known, ["bundle_id", "files_sha256"], "left_anti")
+
+
+def decoded(asked: DataFrame, content: DataFrame) -> dict[str, DataFrame]:
     """Everything that is to be decoded, once: ``rows`` of readable files, ``files`` with one row
     per listed file (of a chosen archive: per member) and why it is left out, and ``archives``
-    with the problem or the digest of each archive."""
-    asked = cut(triaged(listing))
+    with the digest of each archive. ``asked`` is a triaged and staged listing."""
     open_ = asked.where("reason is null")
     bytes_of = open_.select("bundle_id", "file", "path").join(content, "path")
     packed = is_archive(F.col("file"))
@@ -194,7 +217,7 @@ def decoded(listing: DataFrame, content: DataFrame) -> dict[str, DataFrame]:
     bad = files.where(F.col("reason").isNotNull()).select("bundle_id", "file")
     rows = stream.where("record = 'row'").select("bundle_id", "file", "sheet", "row_no", "cells")
     return {"rows": rows.join(bad, ["bundle_id", "file"], "left_anti"), "files": files,
-            "bundles": cut(listing.select("bundle_id").distinct()),
+            "bundles": cut(asked.select("bundle_id").distinct()),
             "archives": stream.where("record = 'archive'").select(
                 "bundle_id", F.col("sheet").alias("sha256"))}
 

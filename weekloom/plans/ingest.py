@@ -83,7 +83,21 @@ def weekly_from_decoded(found: dict[str, DataFrame], profiles: DataFrame, histor
 
 
 def weekly_from_files(spark: SparkSession, path: str, profiles: DataFrame, history: DataFrame,
-                      listing: DataFrame | None = None) -> dict:
-    """The weekly job over a folder: its folders and its archives are the bundles."""
-    asked = D.listed(spark, path) if listing is None else listing
-    return weekly_from_decoded(D.decoded(cut(asked), D.contents(spark, path)), profiles, history)
+                      listing: DataFrame | None = None, outcomes: DataFrame | None = None,
+                      context: str = "") -> dict:
+    """The weekly job over a folder: its folders and its archives are the bundles.
+
+    With the ``outcomes`` of earlier runs, bundles whose bytes have not changed since are left
+    out before anything of them is decoded. ``context`` names the configuration; a bundle is
+    unchanged only under the same one.
+    """
+    content = D.contents(spark, path)
+    asked = cut(D.triaged(D.listed(spark, path) if listing is None else listing))
+    prints = cut(D.fingerprints(asked, content, context))
+    if outcomes is not None:
+        same = prints.join(D.changed_bundles(prints, outcomes), "bundle_id", "left_anti")
+        asked = cut(asked.join(same, "bundle_id", "left_anti"))
+    result = weekly_from_decoded(D.decoded(asked, content), profiles, history)
+    of_run = result["bundles"].join(result["sources"], "bundle_id", "left").join(
+        prints, "bundle_id", "left")
+    return {**result, "sources": cut(of_run)}
