@@ -3,7 +3,7 @@
 import importlib
 
 MODULES = ["scalars", "recognition", "sections", "rule_checks", "wow_checks", "guard_checks",
-           "catalog_check_queries", "output_checks", "failures"]
+           "catalog_check_queries", "output_checks", "failures", "ingest_checks"]
 
 
 def load_all():

@@ -235,10 +235,13 @@ def report_result(spark, sf):
             "issues": all_issues(spark, sf), "lineage": lineage(spark, sf)}
 
 
-@check("weekly_report", PUBLISHED + FACTS + CANDIDATES + """
+WEEKLY_SQL = PUBLISHED + FACTS + CANDIDATES + """
 select f.market, f.period_start, f.fact_id, f.current, f.previous, f.percent_change,
        f.significance, f.performance_signal, c.position
-from facts f left join cand c using (bundle_id, fact_id)""")
+from facts f left join cand c using (bundle_id, fact_id)"""
+
+
+@check("weekly_report", WEEKLY_SQL)
 def weekly_report(spark, sf):
     facts = cut(weekly.change_report(report_result(spark, sf)))
     place = X.candidates(facts).select(*KEY, "fact_id", "position")
