@@ -20,6 +20,7 @@ from weekloom.operators import wow as X
 from weekloom.plans import discovery as D
 from weekloom.plans import publish, weekly
 from weekloom.session import cut
+from weekloom.sources import config as C
 
 WORDS = "Keyword,Conversions,Conv. value / cost,Cost,Conv. value\n"
 #: what a file is, by its number modulo 12: name, and whether it is a link and a plain file
@@ -185,3 +186,72 @@ def report_sink(spark, sf):
         "market", "period_start", "file_stem", "r.current_overall.amount_spent",
         "r.current_overall.link_clicks", F.size("r.daily").cast("bigint").alias("days"),
         cost.cast("double").alias("cost"))
+
+
+#: what is wrong with a configuration, by its number modulo 14: path, problem, value
+CONFIG_FAULTS = {
+    1: [("extra", "unknown_key", None)], 2: [("market", "missing_key", None)],
+    3: [("history.extra", "unknown_key", None)], 4: [("quality.money_tolerance", "wrong_type", "text")],
+    5: [("keyword_top_n", "out_of_range", "101")], 6: [("keyword_top_n", "wrong_type", "number")],
+    7: [("products", "duplicate_product_id", "p0")],
+    8: [("products", "duplicate_creative_pin", "pin 0")],
+    9: [("products.1.extra", "unknown_key", None), ("products.1.display_name", "missing_key", None)],
+    10: [("", "no_object", None)], 11: [("products", "wrong_type", "object")],
+    12: [("products.0.aliases", "wrong_type", "integer"), ("currency", "wrong_type", "integer")]}
+DEFAULTS = [("schema_version", "1.0.0"), ("keyword_top_n", "8"), ("money_tolerance", "0.01"),
+            ("require_all_three_products", "true"), ("required_for_comparison", "true"),
+            ("database", "history/report_history.sqlite3")]
+GIVEN = [("schema_version", "2.0.0"), ("keyword_top_n", "9"), ("money_tolerance", "0.5"),
+         ("require_all_three_products", "false"), ("required_for_comparison", "false"),
+         ("database", "h.db")]
+
+
+def config_sql():
+    quote = lambda v: "null" if v is None else f"'{v}'"
+    rows = [f"({form}, '{path}', '{problem}', {quote(value)})"
+            for form, found in CONFIG_FAULTS.items() for path, problem, value in found]
+    for form, values in ((0, DEFAULTS), (13, GIVEN)):
+        rows += [f"({form}, '{path}', 'value', '{value}')" for path, value in values]
+    return ("select p_partkey as k, path, problem, value from part join (values "
+            + ", ".join(rows) + ") f(form, path, problem, value) on p_partkey % 14 = form")
+
+
+@check("config_strict", config_sql())
+def config_strict(spark, sf):
+    """Configurations with one fault each, and what sound ones come to with their defaults."""
+    form = F.col("form")
+    pick = lambda *cases, other: (
+        lambda c: c.otherwise(other))(_chain(form, cases))
+    product = lambda n, more="": (
+        f'{{"id":"p{n}","display_name":"P","aliases":["a{n}"],"creative_pin":" Pin {n}"{more}}}')
+    both = f"[{product(0)},{product(1, ',\"creative_asset\":null')}]"
+    items = pick((7, f"[{product(0)},{product(1).replace('p1', 'p0')}]"),
+                 (8, f"[{product(0)},{product(1).replace(' Pin 1', 'PIN 0')}]"),
+                 (9, f'[{product(0)},{{"id":"p1","aliases":[],"creative_pin":"x","extra":1}}]'),
+                 (11, "{}"), (12, f"[{product(0).replace('[\"a0\"]', '[1]')}]"), other=both)
+    head = pick((2, '"template_version":"v1"'), other='"template_version":"v1","market":"M"')
+    more = pick(
+        (1, ',"extra":1'), (3, ',"history":{"extra":1}'), (4, ',"quality":{"money_tolerance":"x"}'),
+        (5, ',"keyword_top_n":101'), (6, ',"keyword_top_n":8.5'),
+        (13, ',"schema_version":"2.0.0","keyword_top_n":"9","history":{"database":"h.db",'
+             '"required_for_comparison":0},"quality":{"money_tolerance":"0.5",'
+             '"require_all_three_products":"No"}'), other="")
+    currency = pick((12, "1"), other='"USD"')
+    whole = F.concat(F.lit("{"), head, F.lit(',"country_label":"C","report_title":"T","currency":'),
+                     currency, F.lit(',"products":'), items, more, F.lit("}"))
+    configs = cut(table(spark, sf, "part").select(
+        F.col("p_partkey").alias("profile"), (F.col("p_partkey") % 14).alias("form")).select(
+        "profile", F.when(form == 10, "[1]").otherwise(whole).alias("text")))
+    flat = C.read_profiles(configs)
+    shown = F.explode(F.array(*[F.struct(F.lit(n).alias("path"), F.lit("value").alias("problem"),
+                                         F.col(n).cast("string").alias("value"))
+                                for n, _ in DEFAULTS])).alias("x")
+    return C.config_problems(configs).unionByName(flat.select("profile", shown).select(
+        "profile", "x.*")).withColumnRenamed("profile", "k")
+
+
+def _chain(form, cases):
+    chain = F.when(form == cases[0][0], cases[0][1])
+    for n, value in cases[1:]:
+        chain = chain.when(form == n, value)
+    return chain
