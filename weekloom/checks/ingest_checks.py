@@ -6,6 +6,7 @@ import zipfile
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from weekloom import KEY, fixed
 from weekloom.checks import ads
@@ -21,6 +22,7 @@ from weekloom.plans import discovery as D
 from weekloom.plans import publish, weekly
 from weekloom.session import cut
 from weekloom.sources import config as C
+from weekloom.sources import inventory as I
 
 WORDS = "Keyword,Conversions,Conv. value / cost,Cost,Conv. value\n"
 #: what a file is, by its number modulo 12: name, and whether it is a link and a plain file
@@ -255,3 +257,53 @@ def _chain(form, cases):
     for n, value in cases[1:]:
         chain = chain.when(form == n, value)
     return chain
+
+
+@F.pandas_udf(BinaryType())
+def pack_two(keys: pd.Series, marks: pd.Series) -> pd.Series:
+    return pd.Series([zipped({"a.csv": f"a{k}".encode(), "b/c.csv": f"b{k}{m}".encode()})
+                      for k, m in zip(keys, marks)])
+
+
+@check("inventory_delta", """
+with c as (select c_custkey as k, 'f' || c_custkey || case when c_custkey % 3 = 0 then '.zip'
+                  else '.csv' end as path, c_custkey % 3 = 0 as packed from customer),
+s as (select *, case when k % 7 = 1 then 'removed' when k % 7 = 2 then 'added'
+                     when k % 7 = 3 then 'changed' else 'same' end as status from c)
+select path, null as member, status, null as sha256 from s where status <> 'same'
+union all
+select path, 'a.csv', status, null from s where packed and status in ('added', 'removed')
+union all
+select path, 'b/c.csv', status, null from s where packed and status <> 'same'
+union all
+select path, null, 'now', case when packed then null else sha256('x' || k || case
+       when k % 7 = 3 then '!' else '' end) end from s where status <> 'removed'
+union all
+select path, 'a.csv', 'now', sha256('a' || k) from s where packed and status <> 'removed'
+union all
+select path, 'b/c.csv', 'now', sha256('b' || k || case when k % 7 = 3 then '!' else '' end)
+from s where packed and status <> 'removed'""")
+def inventory_delta(spark, sf):
+    """An inventory brought up to date: what changed, and all digests as they are then. The bytes
+    given for unchanged files are others, which must not be seen."""
+    k = F.col("c_custkey")
+    turn, packed = k % 7, k % 3 == 0
+    rows = table(spark, sf, "customer").select("c_custkey", F.concat(
+        F.lit("f"), text(k), F.when(packed, ".zip").otherwise(".csv")).alias("path"))
+
+    def files(rows, now):
+        mark = F.when(F.lit(now) & (turn == 3), "!").when(
+            F.lit(now) & (turn > 3), "unseen").otherwise("")
+        body = F.when(packed, pack_two(text(k), mark)).otherwise(F.encode(
+            F.concat(F.lit("x"), text(k), mark), "UTF-8"))
+        moment = F.when(F.lit(now) & (turn == 3), "2024-02-02").otherwise("2024-01-01")
+        return cut(rows.select("path", F.lit(9).cast("bigint").alias("length"),
+                               moment.cast("timestamp").alias("modified"), body.alias("content")))
+
+    before = cut(I.scanned(files(rows.where(turn != 2), False)))
+    listed = files(rows.where(turn != 1), True)
+    after = cut(I.updated(listed.select(*I.STAMP), listed.select("path", "content"), before))
+    whole = F.col("member").isNull() & F.col("path").endswith(".zip")
+    now = after.select("path", "member", F.lit("now").alias("status"),
+                       F.when(~whole, F.col("sha256")).alias("sha256"))
+    return I.delta(before, after).withColumn("sha256", F.lit(None).cast("string")).unionByName(now)

@@ -16,9 +16,17 @@ def matches(col: Column, pattern: str) -> Column:
 #: look-behinds and Unicode classes cost much more
 _WEB = r"://|[wW]{3}\."
 _HOME, _DOTS, _DRIVE = "[~/]", r"\.[\\/]", r"[A-Za-z]:[\\/]"
+_MARKS = "[`$&|<;]"
+#: letters that a search with Unicode case takes for i, s or k
+_FOLDED = "[\u0130\u0131\u017f\u212a]"
+_WORDING = ("(?i)ignore|prompt|developer|jailbreak|disregard|forget|follow|execute|run |curl|wget"
+            "|sudo|-rf|" + _FOLDED)
+_ORDERS = ("(?i)ignore|prompt|developer|jailbreak|run|execute|-rf|sudo|curl|wget|powershell"
+           "|<script|忽略|执行|系统提示|" + _FOLDED)
 GATES = {
-    **dict(zip((p for p, _ in fixed.UNSAFE_PROSE), (_WEB, _HOME, _DOTS, _DRIVE))),
-    fixed.UNSAFE_PROSE[-1][0]: "[忽系开提越执运]",
+    **dict(zip((p for p, _ in fixed.UNSAFE_PROSE),
+               (_WEB, _HOME, _DOTS, _DRIVE, _MARKS, _WORDING, "[忽系开提越执运]"))),
+    fixed.INJECTION: _ORDERS,
     fixed.URL_TEXT: _WEB, fixed.POSIX_PATH: _HOME, fixed.RELATIVE_PATH: _DOTS,
     fixed.WINDOWS_PATH: _DRIVE,
 }
@@ -115,13 +123,17 @@ def prose_problems(findings: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def _instruction(col: Column) -> Column:
-    return (matches(col, fixed.INJECTION) | matches(col, fixed.SHELL_COMMAND)
+    return (gated(col, fixed.INJECTION) | matches(col, fixed.SHELL_COMMAND)
             | col.contains("`") | col.contains("&&") | col.contains("||"))
 
 
+def _path(col: Column) -> Column:
+    return (gated(col, fixed.WINDOWS_PATH) | gated(col, fixed.POSIX_PATH)
+            | gated(col, fixed.RELATIVE_PATH))
+
+
 def _reference(col: Column) -> Column:
-    return (gated(col, fixed.URL_TEXT) | gated(col, fixed.WINDOWS_PATH)
-            | gated(col, fixed.POSIX_PATH) | gated(col, fixed.RELATIVE_PATH))
+    return gated(col, fixed.URL_TEXT) | _path(col)
 
 
 def forbidden(col: Column) -> Column:
@@ -137,7 +149,7 @@ def redact(normalized: Column, item: bool = False) -> Column:
     limit = fixed.ITEM_LIMIT if item else fixed.MESSAGE_LIMIT
     return (F.when(_instruction(normalized), phrase["instruction"])
             .when(gated(normalized, fixed.URL_TEXT), phrase["url"])
-            .when(_reference(normalized), phrase["path"])
+            .when(_path(normalized), phrase["path"])
             .otherwise(F.coalesce(F.nullif(F.substring(clean, 1, limit), F.lit("")),
                                   F.lit(phrase["empty"]))))
 

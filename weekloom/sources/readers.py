@@ -59,7 +59,7 @@ def _weight(value) -> int:
     return 8
 
 
-def _decode_rows(files, carried, decode, added, columns, given=()):
+def decode_rows(files, carried, decode, added, columns, given=()):
     """Run ``decode(content, *given)`` per file, yielding tuples, and send them on in batches."""
     names, picked = [*carried, *columns], [*dict.fromkeys([*carried, *given])]
 
@@ -106,7 +106,7 @@ def _delimited(payload: bytes):
 
 def read_delimited(files: DataFrame, carried: list[str]) -> DataFrame:
     """One row per CSV record; ``row_no`` counts records, not lines."""
-    return _decode_rows(files, carried, _delimited, ROW_SCHEMA, ROW_COLUMNS)
+    return decode_rows(files, carried, _delimited, ROW_SCHEMA, ROW_COLUMNS)
 
 
 # --- workbooks --------------------------------------------------------------------------
@@ -235,7 +235,7 @@ def read_workbooks(files: DataFrame, carried: list[str]) -> DataFrame:
 
     Reading of a sheet ends after a hundred blank rows in a row.
     """
-    return _decode_rows(files, carried, _workbook, ROW_SCHEMA, ROW_COLUMNS)
+    return decode_rows(files, carried, _workbook, ROW_SCHEMA, ROW_COLUMNS)
 
 
 # --- files of any kind, as a stream of rows and file records ------------------------------
@@ -277,7 +277,7 @@ def _stream(payload: bytes, name: str, probe: bool = False):
 
 def decode_files(files: DataFrame, carried: list[str], name: str = "file") -> DataFrame:
     """The stream of every file; the column ``name`` tells its format by its suffix."""
-    return _decode_rows(files, carried, _stream, STREAM_SCHEMA, STREAM_COLUMNS, [name])
+    return decode_rows(files, carried, _stream, STREAM_SCHEMA, STREAM_COLUMNS, [name])
 
 
 # --- archives ---------------------------------------------------------------------------
@@ -320,7 +320,7 @@ def _members(payload: bytes, nested=None):
 
 def expand_archives(files: DataFrame, carried: list[str]) -> DataFrame:
     """Source files inside each archive and inside the archives it holds, one level deep."""
-    return _decode_rows(files, carried, _members, MEMBER_SCHEMA, MEMBER_COLUMNS)
+    return decode_rows(files, carried, _members, MEMBER_SCHEMA, MEMBER_COLUMNS)
 
 
 LEVEL_SCHEMA = f"nested string,member string,{STREAM_SCHEMA}"
@@ -385,7 +385,7 @@ def _probe(payload: bytes):
 
 def probe_archives(files: DataFrame, carried: list[str]) -> DataFrame:
     """The streams of all members of all levels, each cut off where it can be classified."""
-    return _decode_rows(files, carried, _probe, LEVEL_SCHEMA, LEVEL_COLUMNS)
+    return decode_rows(files, carried, _probe, LEVEL_SCHEMA, LEVEL_COLUMNS)
 
 
 def _chosen(payload: bytes, nested):
@@ -401,7 +401,7 @@ def _chosen(payload: bytes, nested):
 def decode_archives(files: DataFrame, carried: list[str]) -> DataFrame:
     """The streams of the members of one level, named by ``nested`` (null: the archive itself);
     a record ``archive`` carries the digest of that level's bytes in place of a sheet."""
-    return _decode_rows(files, carried, _chosen, LEVEL_SCHEMA, LEVEL_COLUMNS, ["nested"])
+    return decode_rows(files, carried, _chosen, LEVEL_SCHEMA, LEVEL_COLUMNS, ["nested"])
 
 
 def choose_bundle(status: DataFrame, by: list[str]) -> DataFrame:
