@@ -19,7 +19,7 @@ from weekloom.issues import publishable
 from weekloom.operators import marts
 from weekloom.operators import wow as X
 from weekloom.plans import discovery as D
-from weekloom.plans import publish, weekly
+from weekloom.plans import publish, replay, weekly
 from weekloom.session import cut
 from weekloom.sources import config as C
 from weekloom.sources import inventory as I
@@ -307,3 +307,53 @@ def inventory_delta(spark, sf):
     now = after.select("path", "member", F.lit("now").alias("status"),
                        F.when(~whole, F.col("sha256")).alias("sha256"))
     return I.delta(before, after).withColumn("sha256", F.lit(None).cast("string")).unionByName(now)
+
+
+@check("replay_run", "with recursive" + (ads.BASE + "," + CLEAN.rsplit("clean as", 1)[0]).lstrip()[4:] + """
+s as (
+  select o.market, o.period_start, o.m, o.w, (o.m + o.w) % 3 = 0 or o.w = 0 as seeded,
+         o.m = 4 and o.w = 3 as broken, o.m = 0 and o.w = 1 as idle,
+         o.fault < 6 and o.bundle_id not in (select bundle_id from drifted)
+           and (select count(*) from daily_x d where d.bundle_id = o.bundle_id) = 7
+           and not (o.m = 3 and o.w = 1) as own
+  from overall_x o),
+r as (
+  select *, own and not broken and not idle as ok from s where w = 0
+  union all
+  select s.*, s.own and not s.broken and not s.idle and (s.seeded or r.ok) as ok
+  from s join r on s.m = r.m and s.w = r.w + 1)
+select market, period_start, own as own_ok, case when broken then 'FAIL' when idle then 'SKIP'
+       when ok then 'PASS' else 'FAIL' end as status
+from r""")
+def replay_run(spark, sf):
+    """Every market-week as a catalog sample: weeks run against the record their link names, some
+    frozen reports altered, chains over several weeks."""
+    got, profiles = found(spark, sf)
+    facts = staged_facts(spark, sf)
+    week = F.floor(F.datediff("period_start", F.lit("2024-01-01")) / 7)
+    m = F.substring("market", 2, 9).cast("int")
+    name = lambda day: F.concat_ws("/", "market", day.cast("string"))
+    seeded = ((m + week) % 3 == 0) | (week == 0)
+    samples = cut(ads.base(spark, sf).select(*KEY).distinct().select(
+        *KEY, name(F.col("period_start")).alias("sample_id"),
+        F.when((m == 0) & (week == 1), "reference_only").otherwise("runnable")
+        .alias("workflow_status"), (~((m == 4) & (week == 3))).alias("integrity_ok"),
+        F.lit(True).alias("source_ok"), F.when(seeded, "seed_file").otherwise("catalog_sample")
+        .alias("previous_kind"), F.when(seeded, F.concat(F.lit("seed "), name(F.col(
+            "period_start")))).otherwise(name(F.date_sub("period_start", 7))).alias("previous_id")))
+    heads = cut(weekly.report_heads(facts["overall"], profiles))
+    seeds = cut(heads.select(
+        F.concat(F.lit("seed "), name(F.col("period_start"))).alias("previous_id"), "market",
+        F.date_sub("period_start", 7).alias("period_start"),
+        F.date_sub("period_end", 7).alias("period_end"), *fixed.OVERALL_METRICS,
+        F.lit(False).alias("is_db"), F.lit("seed.json").alias("source_file")))
+    # frozen reports are what the weeks gave, from another folder, and one is altered
+    linked = heads.join(replay.linked_previous(samples, heads, seeds), "bundle_id", "left")
+    frozen = replay.canonical_values(facts, linked).where(week < 3).withColumn("value", F.when(
+        F.col("is_history_file"), F.concat(F.lit("/else/"), "value")).when(
+        (m == 3) & (week == 1) & (F.col("path") == "report.currency"), "EUR").otherwise(
+        F.col("value")))
+    goldens = cut(frozen.join(samples.select("bundle_id", "sample_id"), "bundle_id").select(
+        "sample_id", "path", "value", "is_history_file"))
+    return replay.replay_run(samples, got, facts, profiles, seeds, goldens).select(
+        "market", "period_start", "own_ok", "status")

@@ -17,15 +17,19 @@ REPORT_FIELDS = ["schema_version", "template_version", "country_label", "currenc
                  "report_title"]
 
 
-def report_rows(overall: DataFrame, profiles: DataFrame, history: DataFrame) -> DataFrame:
-    """One row per bundle: configuration texts, overall metrics and the previous record."""
+def report_heads(overall: DataFrame, profiles: DataFrame) -> DataFrame:
+    """One row per bundle: configuration texts and overall metrics."""
     first = overall.groupBy(*KEY).agg(F.min_by(F.struct(
         F.col("source_start").alias("overall_start"), F.col("source_end").alias("overall_end"),
         *fixed.OVERALL_METRICS), "row_no").alias("o")).select(*KEY, "o.*")
     config = profiles.select("market", *REPORT_FIELDS)
-    rows = first.join(config, "market").withColumns({
+    return first.join(config, "market").withColumns({
         "config_market": F.col("market"), "overall_market": F.col("market")})
-    return previous_period(rows, history).withColumn(
+
+
+def report_rows(overall: DataFrame, profiles: DataFrame, history: DataFrame) -> DataFrame:
+    """One row per bundle: its head and the previous record."""
+    return previous_period(report_heads(overall, profiles), history).withColumn(
         "previous_market", F.when(F.col("previous").isNotNull(), F.col("market")))
 
 
