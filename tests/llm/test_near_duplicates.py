@@ -116,8 +116,8 @@ def edited(r, text, n):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("max_cell, block", [(32, 512), (2, 5)])
-def test_edited_copies_are_one_document(frame, max_cell, block):
+@pytest.mark.parametrize("block", [512, 5])
+def test_edited_copies_are_one_document(frame, block):
     """Copies with changed words, from far above 0.8 to far below, in crowded keys or not."""
     r = random.Random(6)
     texts = []
@@ -130,7 +130,7 @@ def test_edited_copies_are_one_document(frame, max_cell, block):
     assert sum(0.8 <= x < 0.95 for x in near) > 40 and sum(0.6 < x < 0.8 for x in near) > 10
     top = roots(range(len(texts)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
     rows = [(k, t, *[None] * 7) for k, t in enumerate(texts)]
-    kept = simhash.keep_one(frame(rows), max_cell, block)
+    kept = simhash.keep_one(frame(rows), block)
     assert {x["doc_id"] for x in kept.collect()} == set(top.values())
 
 
@@ -203,3 +203,18 @@ def test_texts_stay_whole_characters(odd, empty):
     assert kept.count() == len(odd_rows())
     assert kept.where(F.col("text").isNull()).count() == sum(r[1] is None for r in odd_rows())
     assert keep_new(empty).count() == 0
+
+
+def test_blocks_send_on_trees_of_exact_links():
+    r = random.Random(11)
+    for n in (2, 30, 90):
+        sets = [{r.randrange(400) for _ in range(r.randint(1, 60))} for _ in range(n)]
+        sets += [s | {r.randrange(9000)} for s in sets[::3]] + [set(range(70_000))] * 2
+        rows = [{"h": np.array(sorted(s), "<u8").tobytes()} for s in sets]
+        near = simhash.similar(rows)
+        want = [[len(a & b) >= .8 * len(a | b) for b in sets] for a in sets]
+        assert near.tolist() == want
+        links = simhash.forest(near)
+        assert len(links) < len(sets)
+        top = roots(range(len(sets)), lambda a, b: want[a][b])
+        assert {k: top[k] for _, k in links} == {k: v for k, v in top.items() if v != k}

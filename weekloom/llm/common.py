@@ -1,6 +1,7 @@
 """Helpers that the operators share: tables, staged results, ranks without hot groups."""
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,10 +17,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+SPREAD = 64
+SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Folders staged inside are removed at the end, but for those staged with ``keep``, which
+    are the surrounding scope's. Frames built on the others must be written by then."""
+    SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in SCOPES.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a frame to the shared folder and read it back, so that later steps start there."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    if len(SCOPES) > keep:
+        SCOPES[-1 - keep].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -42,14 +62,19 @@ def text_key(text: Column) -> Column:
 
 
 def spread_sample(rows: DataFrame, group: str, n: int) -> DataFrame:
-    """At most ``n`` rows (``group``, doc_id, h) of each group: distinct ones in the order of
-    their hashes, of each id the first before the second of any. ``h`` is a hash of the text."""
-    of_id = W.partitionBy(group, "doc_id").orderBy("h")
-    of_group = W.partitionBy(group).orderBy("turn", F.xxhash64("doc_id"), "doc_id", "h")
-    return (rows.select(group, "doc_id", "h").distinct()
+    """At most ``n`` rows (``group``, doc_id, h, nth) of each group: distinct ones in the order of
+    their hashes, of each id the first before the second of any. ``h`` is a hash of the text.
+
+    A group is first dealt over ``SPREAD`` parts by the id, so that no task ranks all of it."""
+    order = ["turn", F.xxhash64("doc_id"), "doc_id", "h"]
+    rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    of_id = W.partitionBy(group, "part", "doc_id").orderBy("h")
+    dealt = rows.select(group, "doc_id", "h").withColumn(
+        "part", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).distinct()
+    return (dealt.repartition(group, "part")
             .withColumn("turn", F.row_number().over(of_id)).where(F.col("turn") <= n)
-            .withColumn("nth", F.row_number().over(of_group)).where(F.col("nth") <= n)
-            .drop("turn", "nth"))
+            .withColumn("nth", rank(group, "part")).where(F.col("nth") <= n)
+            .withColumn("nth", rank(group)).where(F.col("nth") <= n).drop("turn", "part"))
 
 
 def ranked(df: DataFrame, group: str, ids: list[str], out: str) -> DataFrame:

@@ -3,8 +3,8 @@ belongs to the language whose dictionary makes it smallest, and is rejected when
 is nearly as small.
 
 Dictionaries are fitted on a bounded sample: at most ``SAMPLE_DOCS`` distinct texts of a language,
-of as many ids as there are, with ``SAMPLE_CHARS`` characters each; of a longer text these are
-``PIECES`` pieces from its begin to its end. Every text is encoded whole, as lower-case letters with single
+of as many ids as there are, taken whole one after the other while they fit ``SAMPLE_BYTES``; a
+text that does not fit what is left is passed over. Every text is encoded whole, as lower-case letters with single
 spaces between, in blocks of ``BLOCK`` bytes, so that a long text is judged by its whole length
 and not by what it repeats of itself.
 
@@ -17,14 +17,13 @@ are not looked at; an empty table gives an empty result.
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekloom.llm.common import documents, held_out, schema_after, spread_sample
 
 SAMPLE_DOCS = 96
-SAMPLE_CHARS = 1500
-PIECES = 5
+SAMPLE_BYTES = 1 << 17
 BLOCK = 4096
 LEVEL = 9
 MIN_MARGIN = 0.01
@@ -37,30 +36,34 @@ def letters(text: str | None) -> str:
     return NO_LETTERS.sub(" ", (text or "").lower()).strip()
 
 
-def pieces(text: Column, chars: int) -> Column:
-    """The text, or pieces of ``chars`` characters in all spread evenly over a longer one."""
-    size = max(1, chars // PIECES)
-    gap = (F.length(text) - size) / (PIECES - 1)
-    parts = [F.substring(text, F.floor(gap * k).cast("int") + 1, F.lit(size))
-             for k in range(PIECES)]
-    return F.when(F.length(text) <= chars, text).otherwise(F.concat_ws(" ", *parts))
-
-
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS,
-          sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
+          sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
     """Dictionary of each language, from documents that are not held out.
 
-    What reaches the driver is bounded by the two limits for each language.
+    What reaches the driver is at most ``sample_docs`` pairs of a number and a size and then
+    ``sample_bytes`` of text for each language.
     """
-    known = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("h")).where(
+    known = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("h"),
+                        F.octet_length("text").alias("size")).where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
-        & (F.col("text") != ""))
+        & F.col("size").between(1, sample_bytes))
     picked = spread_sample(known, "lang", sample_docs)
-    texts = (known.join(F.broadcast(picked), ["lang", "doc_id", "h"])
-             .groupBy("lang", "doc_id", "h")
-             .agg(F.first(pieces(F.col("text"), sample_chars)).alias("text")).collect())
+    sized = known.join(F.broadcast(picked), ["lang", "doc_id", "h"]).groupBy(
+        "lang", "nth", "doc_id", "h").agg(F.max("size").alias("size"))
+    left, taken = {}, []
+    for row in sized.orderBy("lang", "nth").collect():
+        room = left.setdefault(row["lang"], sample_bytes)
+        if row["size"] <= room:
+            left[row["lang"]] = room - row["size"]
+            taken.append((row["lang"], row["doc_id"], row["h"], row["nth"]))
+    if not taken:
+        return {}
+    wanted = docs.sparkSession.createDataFrame(taken, sized.select(
+        "lang", "doc_id", "h", "nth").schema)
+    texts = (known.join(F.broadcast(wanted), ["lang", "doc_id", "h"])
+             .groupBy("lang", "nth").agg(F.min("text").alias("text")).collect())
     found: dict[str, list] = {}
-    for row in sorted(texts, key=lambda r: (r["lang"], r["doc_id"], r["h"])):
+    for row in sorted(texts, key=lambda r: (r["lang"], r["nth"])):
         found.setdefault(row["lang"], []).append(letters(row["text"]))
     return {lang: "\n".join(parts).encode() for lang, parts in sorted(found.items())}
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import documents, schema_after, stage
+from weekloom.llm.common import documents, schema_after, scratch, stage
 from weekloom.llm.regions import runs
 from weekloom.llm.suffix_sort import repeated_places
 
@@ -277,7 +277,8 @@ def without_repeats(docs: DataFrame, span: int = SPAN, characters: bool = False,
     """(doc_id, n_bytes, n_removed, removed, kept): maximal removed byte ranges and the bytes
     that stay. With ``characters``, a character that would be cut stays whole."""
     texts = keyed(docs)
-    spans = stage(repeated_spans(texts, span, compare), "spans")
+    with scratch(docs.sparkSession):
+        spans = stage(repeated_spans(texts, span, compare), "spans", keep=True)
 
     def run(batches):
         import zstandard

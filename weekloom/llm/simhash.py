@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import documents, schema_after, stage, text_key
+from weekloom.llm.common import documents, schema_after, scratch, stage, text_key
 from weekloom.llm.components import components
 
 SHINGLE = 3
@@ -41,7 +41,9 @@ STAGE_SHINGLE = 5
 SIMILAR = 0.8
 LEAST = 8
 STAGE_BITS = 72
-CROWD_BLOCK = 512
+BLOCK_SETS = 512
+BLOCK_BYTES = 1 << 23
+COLUMNS = 1 << 15
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                    0xD6E8FEB86659FD93], np.uint64)
 
@@ -149,14 +151,22 @@ def word_shingles(text: str | None, width: int = STAGE_SHINGLE) -> set[bytes]:
     return {b" ".join(words[k:k + width]) for k in range(len(words) - width + 1)}
 
 
-def sketch(text: str | None) -> tuple[int, list[int], list[int]]:
-    """(hash of the shingle set, its ``LEAST`` smallest hashes, fingerprint as four longs)."""
-    from xxhash import xxh3_64_intdigest, xxh64_intdigest
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text."""
+    from xxhash import xxh64_intdigest
 
     own = word_shingles(text)
-    if not own:
-        return 0, [], [0] * len(MIXERS)
-    hashed = np.sort(np.fromiter((xxh64_intdigest(x, SEED) for x in own), "<u8", len(own)))
+    return np.unique(np.fromiter((xxh64_intdigest(x, SEED) for x in own), "<u8", len(own)))
+
+
+def sketch(text: str | None) -> tuple[int, int, list[int], list[int]]:
+    """(hash of the shingle set, its size, its ``LEAST`` smallest hashes, fingerprint as four
+    longs)."""
+    from xxhash import xxh3_64_intdigest
+
+    hashed = shingle_hashes(text)
+    if not len(hashed):
+        return 0, 0, [], [0] * len(MIXERS)
     whole = int(np.uint64(xxh3_64_intdigest(hashed.tobytes())).view(np.int64))
     votes = np.zeros(64 * len(MIXERS), np.int64)
     for k in range(0, len(hashed), BLOCK):
@@ -168,29 +178,24 @@ def sketch(text: str | None) -> tuple[int, list[int], list[int]]:
                              bitorder="little")
         votes += bits.sum(axis=0, dtype=np.int64)
     fp = np.packbits(votes * 2 > len(hashed), bitorder="little").view("<i8")
-    return whole, hashed[:LEAST].view("<i8").tolist(), fp.tolist()
+    return whole, len(hashed), hashed[:LEAST].view("<i8").tolist(), fp.tolist()
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, s, keys, fp, z): the sketch of every document and its text compressed."""
+    """(doc_id, key, s, n, keys, fp): the sketch of every document; n counts its shingles."""
     def run(batches):
-        import zstandard
-
-        press = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = [sketch(t) for t in texts]
+            found = [sketch(t.as_py()) for t in batch.column("text")]
+            columns = list(zip(*found)) if found else [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"),
-                 pa.array([x[0] for x in found], pa.int64()),
-                 pa.array([x[1] for x in found], pa.list_(pa.int64())),
-                 pa.array([x[2] for x in found], pa.list_(pa.int64())),
-                 pa.array([press((t or "").encode()) for t in texts], pa.binary())],
-                ["doc_id", "key", "s", "keys", "fp", "z"])
+                 *[pa.array(c, t) for c, t in zip(columns, kinds)]],
+                ["doc_id", "key", "s", "n", "keys", "fp"])
 
     rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
     return rows.mapInArrow(run, schema_after(
-        rows, ["doc_id", "key"], "s long, keys array<long>, fp array<long>, z binary"))
+        rows, ["doc_id", "key"], "s long, n long, keys array<long>, fp array<long>"))
 
 
 def bits_apart(x: str, y: str) -> Column:
@@ -198,109 +203,187 @@ def bits_apart(x: str, y: str) -> Column:
     return sum(parts[1:], parts[0])
 
 
-def crowd_pairs(crowd: DataFrame, block: int) -> DataFrame:
-    """(a, b) of the members of crowded keys that are of different roots and near enough on
-    their bits. Members are dealt over blocks, and two blocks meet in one task."""
-    def compare(rows):
-        left = [r for r in rows if r["own"] == r["lo"]]
-        right = left if rows[0]["lo"] == rows[0]["hi"] else [r for r in rows
-                                                              if r["own"] == r["hi"]]
-        if not left or not right:
-            return
-        fps, roots, ids = (np.array([r[c] for r in right], np.int64) for c in ("fp", "root", "s"))
-        for r in left:
-            # unsigned, as signed values are counted by their size
-            apart = np.bitwise_count((fps ^ np.array(r["fp"], np.int64)).view(np.uint64)).sum(axis=1)
-            for b in ids[(apart <= STAGE_BITS) & (roots != r["root"])].tolist():
-                yield min(r["s"], b), max(r["s"], b)
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Links (root, member) that connect what a symmetric matrix connects; at most n - 1."""
+    seen, links = np.zeros(len(near), bool), []
+    for root in range(len(near)):
+        if seen[root]:
+            continue
+        seen[root] = True
+        front = [root]
+        while front:
+            new = near[front].any(axis=0) & ~seen
+            seen |= new
+            front = np.flatnonzero(new).tolist()
+            links += [(root, k) for k in front]
+    return links
+
+
+def near_bits(rows: list[dict]) -> np.ndarray:
+    """Which fingerprints and sizes of rows allow a link."""
+    fps = np.array([r["fp"] for r in rows], np.int64)
+    n = np.array([r["n"] for r in rows], np.int64)
+    apart = np.zeros((len(rows), len(rows)), np.int64)
+    for k in range(fps.shape[1]):
+        # unsigned, as signed values are counted by their size
+        apart += np.bitwise_count((fps[:, None, k] ^ fps[None, :, k]).view(np.uint64))
+    return (apart <= STAGE_BITS) & (np.minimum.outer(n, n) >= SIMILAR * np.maximum.outer(n, n))
+
+
+def similar(rows: list[dict]) -> np.ndarray:
+    """Which shingle sets of rows have a Jaccard likeness of ``SIMILAR`` or more, exactly."""
+    sets = [np.frombuffer(r["h"], "<u8") for r in rows]
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # only what two sets hold can be shared
+    several = count > 1
+    place = np.cumsum(several) - 1
+    held = several[column]
+    owner, column = owner[held], place[column[held]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(sets), len(sets)), np.int64)
+    for begin in range(0, int(several.sum()), COLUMNS):
+        low, high = np.searchsorted(column, [begin, begin + COLUMNS])
+        at = column[low:high] - begin
+        # a bit for each set and shingle
+        bits = np.zeros((len(sets), -(-min(COLUMNS, int(several.sum()) - begin) // 64)), np.uint64)
+        np.bitwise_or.at(bits, (owner[low:high], at >> 6),
+                         np.uint64(1) << (at & 63).astype(np.uint64))
+        for k in range(len(sets)):
+            shared[k, k:] += np.bitwise_count(bits[k] & bits[k:]).sum(axis=1, dtype=np.int64)
+    shared = np.maximum(shared, shared.T)
+    either = np.add.outer(size, size) - shared
+    return shared >= SIMILAR * either
+
+
+def linked_within(rows: DataFrame, by: list[str], near) -> DataFrame:
+    """(a, b): links between rows of one group that ``near`` finds, enough to connect them. A
+    group meets in one task, so its size must be bounded."""
+    def links_of(held):
+        pairs = [(held[i]["s"], held[k]["s"]) for i, k in forest(near(held))]
+        return pa.RecordBatch.from_arrays([pa.array([p[n] for p in pairs], pa.int64())
+                                           for n in (0, 1)], ["a", "b"])
 
     def run(batches):
         held, last = [], None
         for batch in batches:
             for row in batch.to_pylist():
-                now = row["k"], row["lo"], row["hi"]
-                if held and now != last:
-                    yield batch_of(compare(held))
+                now = [row[c] for c in by]
+                if len(held) > 1 and now != last:
+                    yield links_of(held)
+                if now != last:
                     held = []
                 last = now
-                held.append(row)
-        if held:
-            yield batch_of(compare(held))
-
-    def batch_of(pairs):
-        found = sorted(set(pairs))
-        return pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], pa.int64())
-                                           for n in (0, 1)], ["a", "b"])
-
-    width = F.ceil(F.col("n") / block).cast("long")
-    dealt = crowd.withColumn("own", F.pmod(F.xxhash64("s"), width)).select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), width - 1)).alias("other")).select(
-        "k", "s", "fp", "root", "own", F.least("own", "other").alias("lo"),
-        F.greatest("own", "other").alias("hi"))
-    return dealt.repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi").mapInArrow(
-        run, "a long, b long").distinct()
-
-
-def similar(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard likeness of ``SIMILAR`` or more, exactly."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-    texts = stage(own.select("s", "z").join(nodes, "s", "left_semi").groupBy("s").agg(
-        F.first("z").alias("z")), "pair-texts")
+                # a row of the input may be repeated
+                if not held or held[-1]["s"] != row["s"]:
+                    held.append(row)
+        if len(held) > 1:
+            yield links_of(held)
+
+    return rows.repartition(*by).sortWithinPartitions(*by, "s").mapInArrow(run, "a long, b long")
+
+
+def block_pairs(rows: DataFrame, width: Column, carried: list[str]) -> DataFrame:
+    """Rows once for every pair (lo, hi) of blocks with their own, a group being dealt over
+    ``width`` blocks; ``carried`` names the other columns."""
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1))
+    return (rows.withColumn("width", width)
+            .withColumn("own", F.pmod(F.xxhash64("s"), F.col("width"))).withColumn("other", every)
+            .select(*carried, F.least("own", "other").alias("lo"),
+                    F.greatest("own", "other").alias("hi")))
+
+
+def candidate_links(classes: DataFrame, block: int) -> DataFrame:
+    """(a, b): links that connect all classes that may be similar: those that share a key and
+    are near in bits and size."""
+    members = classes.select("s", "n", "fp", F.explode("keys").alias("k"))
+    tops = members.groupBy("k").agg(F.count("*").alias("members"),
+                                    F.min(F.struct("s", "n", "fp")).alias("top")).where("members > 1")
+    shared = members.join(tops, "k").select(
+        "k", "s", "n", "fp", "members", F.col("top.s").alias("top"), F.col("top.n").alias("top_n"),
+        F.col("top.fp").alias("top_fp"))
+    # a crowd of near copies is mostly connected through one member
+    near = (bits_apart("fp", "top_fp") <= STAGE_BITS) & (
+        F.least("n", "top_n") >= SIMILAR * F.greatest("n", "top_n"))
+    shared = stage(shared.withColumn("near", near).drop("top_n", "top_fp"), "shared-keys")
+    star = shared.where("near and s <> top").select(F.col("top").alias("a"), F.col("s").alias("b"))
+    mixed = shared.groupBy("k").agg(F.bool_and("near").alias("one")).where("not one").select("k")
+    dealt = block_pairs(shared.join(mixed, "k", "left_semi"),
+                        F.ceil(F.col("members") / block).cast("long"), ["k", "s", "n", "fp"])
+    return stage(star.unionByName(linked_within(dealt, ["k", "lo", "hi"], near_bits)).distinct(),
+                 "candidates")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (least and other columns) with ``h``, the sorted hashes of the shingles of the
+    text that ``least`` names, as often as that row stands in the table."""
+    kept = [c for c in wanted.columns if c != "least"]
 
     def run(batches):
-        import zstandard
-        from functools import lru_cache
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in kept],
+                 pa.array([shingle_hashes(t.as_py()).tobytes() for t in batch.column("text")],
+                          pa.binary())], [*kept, "h"])
 
-        unpress = zstandard.ZstdDecompressor().decompress
+    w = wanted.select(*kept, F.col("least.doc_id").alias("w_id"), F.col("least.key").alias("w_key"))
+    rows = docs.select("doc_id", "text").join(
+        w, F.col("doc_id").eqNullSafe(F.col("w_id"))
+        & text_key(F.col("text")).eqNullSafe(F.col("w_key"))).select(*kept, "text")
+    return rows.mapInArrow(run, schema_after(rows, kept, "h binary"))
 
-        @lru_cache(8)
-        def shingles(z):
-            return word_shingles(unpress(z, max_output_size=1 << 31).decode() if z else "")
 
-        for batch in batches:
-            good = []
-            for za, zb in zip(batch.column("za"), batch.column("zb")):
-                x, y = shingles(za.as_py()), shingles(zb.as_py())
-                shared = len(x & y)
-                good.append(shared >= SIMILAR * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+def blocks_of(n_bytes: Column, block: int) -> Column:
+    """The blocks that a group is dealt over, by its sets and their bytes."""
+    return F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(n_bytes) / BLOCK_BYTES)).cast("long")
 
-    one, two = (texts.select(F.col("s").alias(f"s{c}"), F.col("z").alias(f"z{c}")) for c in "ab")
-    return (pairs.join(one, F.col("a") == F.col("sa")).join(two, F.col("b") == F.col("sb"))
-            .select("a", "b", "za", "zb").mapInArrow(run, "a long, b long"))
 
+def verified_links(dealt: DataFrame, block: int) -> DataFrame:
+    """(node, root) of the sets that similarity connects, among staged sets (c, s, width, own, h)
+    of candidate groups ``c``.
 
-def near_roots(own: DataFrame, classes: DataFrame, max_cell: int = CELL,
-               block: int = CROWD_BLOCK) -> DataFrame:
+    Sets meet in blocks. Blocks of a group are first joined within, then through one set of each
+    connected part, and only groups still in several parts compare all their blocks.
+    """
+    links = stage(linked_within(dealt, ["c", "own"], similar), "links")
+    wide = dealt.where("width > 1")
+    if wide.isEmpty():
+        return components(links)
+
+    def with_roots(links):
+        return wide.join(components(links), F.col("s") == F.col("node"), "left").select(
+            "c", "s", "h", "width", "own", F.coalesce("root", "s").alias("root"))
+
+    parts = stage(with_roots(links).groupBy("c", "own", "root").agg(F.min_by(
+        F.struct("s", "h"), "s").alias("x")).select("c", "x.*"), "parts")
+    few = parts.groupBy("c").agg(blocks_of(F.octet_length("h"), block).alias("width"))
+    between = linked_within(parts.join(few, "c").withColumn(
+        "own", F.pmod(F.xxhash64("s"), F.col("width"))), ["c", "own"], similar)
+    links = stage(links.unionByName(between), "links")
+    rooted = stage(with_roots(links), "rooted")
+    open_ = rooted.groupBy("c").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(
+        "x <> y").select("c")
+    pairs = block_pairs(rooted.join(open_, "c", "left_semi"), F.col("width"),
+                        ["c", "s", "h"]).where("lo < hi")
+    return components(links.unionByName(linked_within(pairs, ["c", "lo", "hi"], similar)))
+
+
+def near_roots(docs: DataFrame, classes: DataFrame, block: int = BLOCK_SETS) -> DataFrame:
     """(node, root) of the shingle sets that link with others."""
-    members = classes.select("s", "fp", F.explode("keys").alias("k"))
-    counts = members.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct("s", "fp"))
-                                      .alias("top")).where("n > 1")
-    shared = stage(members.join(counts, "k").select("k", "s", "fp", "n", F.col("top.s").alias(
-        "top"), F.col("top.fp").alias("top_fp")), "shared-keys")
-    small = shared.where(F.col("n") <= max_cell).select("k", "s", "fp")
-    other = small.select(F.col("k").alias("k2"), F.col("s").alias("b"), F.col("fp").alias("fp2"))
-    pairs = small.join(other, (F.col("k") == F.col("k2")) & (F.col("s") < F.col("b"))
-                       & (bits_apart("fp", "fp2") <= STAGE_BITS)).select(F.col("s").alias("a"), "b")
-    # a crowd of near copies is mostly joined by links to one member
-    star = shared.where((F.col("n") > max_cell) & (F.col("s") != F.col("top"))
-                        & (bits_apart("fp", "top_fp") <= STAGE_BITS)).select(
-        F.col("top").alias("a"), F.col("s").alias("b"))
-    roots = components(similar(stage(pairs.unionByName(star).distinct(), "pairs"), own))
-    # what is left are members of one crowded key with different roots
-    crowd = stage(shared.where(F.col("n") > max_cell).join(roots, F.col("s") == F.col("node"), "left")
-                  .select("k", "s", "fp", "n", F.coalesce("root", "s").alias("root")), "crowd")
-    mixed = crowd.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(
-        "x <> y").select("k")
-    more = stage(crowd_pairs(crowd.join(mixed, "k", "left_semi"), block), "crowd-pairs")
-    if more.isEmpty():
-        return roots
-    linked = similar(more, own).unionByName(roots.select(F.col("node").alias("a"),
-                                                         F.col("root").alias("b")))
-    return components(linked)
-
-
-def keep_one(docs: DataFrame, max_cell: int = CELL, block: int = CROWD_BLOCK) -> DataFrame:
+    near = components(candidate_links(classes, block))
+    # a root is no node of its own
+    near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
+    groups = stage(classes.join(near, F.col("s") == F.col("node")).select(
+        "s", "n", "least", F.col("root").alias("c")), "groups")
+    widths = groups.groupBy("c").agg(blocks_of(8 * F.col("n"), block).alias("width"))
+    wanted = groups.join(widths, "c").select(
+        "c", "s", "width", F.pmod(F.xxhash64("s"), F.col("width")).alias("own"), "least")
+    return verified_links(stage(shingle_sets(docs, wanted), "sets"), block)
+
+
+def keep_one(docs: DataFrame, block: int = BLOCK_SETS) -> DataFrame:
     """One row of each group of near duplicates, with all its columns: that of the least id, then
     the least text hash; rows without an id come last, and of equal rows one stays.
 
@@ -308,20 +391,22 @@ def keep_one(docs: DataFrame, max_cell: int = CELL, block: int = CROWD_BLOCK) ->
     or more; groups are what links connect. Candidates share one of their ``LEAST`` smallest
     shingle hashes, which a linked pair does but for a chance of 0.2 ** 8 (3e-6), and differ in
     at most ``STAGE_BITS`` of the 256 bits of their fingerprints, where 39 with a deviation of 6
-    is usual at 0.8. Every link is verified on the shingles themselves. Texts without words are
-    one group.
+    is usual at 0.8. Every link is verified on the hashes of all shingles, inside tasks that hold
+    a block of sets and send on a tree of links, never pairs. Texts without words are one group.
     """
     schema = docs.schema
-    own = stage(sketches(docs), "sketches")
-    classes = stage(own.groupBy("s").agg(
-        F.first("fp").alias("fp"), F.first("keys").alias("keys"),
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")),
-        "classes")
-    roots = near_roots(own, classes, max_cell, block)
-    chosen = stage(
-        classes.join(roots, F.col("s") == F.col("node"), "left")
-        .groupBy(F.coalesce("root", "s").alias("root")).agg(F.min("least").alias("first"))
-        .select(F.col("first.doc_id").alias("k_id"), F.col("first.key").alias("k_key")), "chosen")
+    with scratch(docs.sparkSession):
+        own = stage(sketches(docs), "sketches")
+        classes = stage(own.groupBy("s").agg(
+            F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("n").alias("n"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")),
+            "classes")
+        roots = near_roots(docs, classes, block)
+        chosen = stage(
+            classes.join(roots, F.col("s") == F.col("node"), "left")
+            .groupBy(F.coalesce("root", "s").alias("root")).agg(F.min("least").alias("first"))
+            .select(F.col("first.doc_id").alias("k_id"), F.col("first.key").alias("k_key")),
+            "chosen", keep=True)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kept = rows.join(chosen, F.col("row.doc_id").eqNullSafe(F.col("k_id"))
                      & text_key(F.col("row.text")).eqNullSafe(F.col("k_key")))
