@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekloom.llm.common import documents, schema_after
-from weekloom.llm.tokens import PrefixCounter, vocabulary_path
+from weekloom.llm.tokens import prefix_counter, vocabulary_path
 
 LIMIT = 1024
 
@@ -43,7 +43,7 @@ def prefix_table(docs: DataFrame, path: str | None = None, budget: int = LIMIT,
     path = path or vocabulary_path()
 
     def run(batches):
-        counter = PrefixCounter(path)
+        counter = prefix_counter(path)
         for batch in batches:
             rows = {"n_bytes": [], "n_tokens": [], "fits_chars": [], "counts": []}
             for text in batch.column("text"):

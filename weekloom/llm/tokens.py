@@ -96,7 +96,7 @@ def special_pattern(path: str):
 class IdStore:
     """Ids of texts as little-endian unsigned 32-bit bytes, with the pieces seen before kept."""
 
-    LIMIT = 500_000
+    LIMIT = 150_000
 
     def __init__(self, path: str):
         self.library = load_tokenizer(path)
@@ -167,7 +167,7 @@ class PrefixCounter:
     the bytes gives the count at every prefix. Units of text are counted once and kept as steps.
     """
 
-    LIMIT = 700_000
+    LIMIT = 400_000
 
     def __init__(self, path: str):
         self.library = load_tokenizer(path)
@@ -209,7 +209,7 @@ class PrefixCounter:
         """Whether merging keeps token b apart after token a (-1: at the start)."""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
             known = (self.merge(self.texts[b]) == [b] if a < 0 else
                      self.merge(self.texts[a] + self.texts[b]) == [a, b])
@@ -347,3 +347,15 @@ class PrefixCounter:
         if at < len(text):
             out.append(self.plain(text[at:]) + base)
         return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+@lru_cache(1)
+def prefix_counter(path: str) -> PrefixCounter:
+    """The counter of this process: tasks that follow each other in a worker share what it keeps."""
+    return PrefixCounter(path)
+
+
+@lru_cache(1)
+def id_store(path: str) -> IdStore:
+    """The store of this process, shared likewise."""
+    return IdStore(path)
