@@ -4,8 +4,8 @@ Suffixes that start a descent's end (S*) are sorted by their substrings and, whe
 sorting the string of their names in the same way. The other suffixes are induced: each suffix
 taken from a priority queue puts the one before it back, with the length of the prefix that it
 shares with the suffix put into the same bucket before. Queues keep ``limit`` tuples in memory and
-spill sorted runs to files of the task; the text may be a memory map. So a shard may be far larger
-than memory.
+spill sorted runs to files of the task, and the text may be a memory map; the places, names and
+prefixes of S* suffixes are lists in memory, so a shard is bounded by these.
 """
 
 import heapq
