@@ -97,6 +97,16 @@ def test_shards_are_nearly_equal(frame, shards):
     assert len(size) == shards and max(size.values()) < 1.06 * min(size.values())
 
 
+def test_repeated_rows_are_spread(frame):
+    """One row repeated under one id, more than a third of all."""
+    rows = [(k, prose(k, 2), "en", "s", *[None] * 5) for k in range(2500)]
+    rows += [(7, prose(7, 2), "en", "s", *[None] * 5)] * 1500
+    size = Counter()
+    for r in kd_shards.kd_shards(frame(rows)).collect():
+        size[r["shard"]] += r["size"]
+    assert len(size) == 16 and max(size.values()) < 1.1 * min(size.values())
+
+
 def test_shards_of_odd_rows(odd, empty):
     check_shards(odd_rows(), kd_shards.kd_shards(odd).collect(), 16)
     assert kd_shards.kd_shards(empty).count() == 0

@@ -96,7 +96,7 @@ def special_pattern(path: str):
 class IdStore:
     """Ids of texts as little-endian unsigned 32-bit bytes, with the pieces seen before kept."""
 
-    LIMIT = 150_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         self.library = load_tokenizer(path)
@@ -353,9 +353,3 @@ class PrefixCounter:
 def prefix_counter(path: str) -> PrefixCounter:
     """The counter of this process: tasks that follow each other in a worker share what it keeps."""
     return PrefixCounter(path)
-
-
-@lru_cache(1)
-def id_store(path: str) -> IdStore:
-    """The store of this process, shared likewise."""
-    return IdStore(path)
