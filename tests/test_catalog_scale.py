@@ -8,3 +8,40 @@ def plan(df):
 
 
 LINK = "struct<kind:string,sample_id:string,path:string,sha256:string>"
+
+
+def test_integrity_joins_are_not_broadcast(spark):
+    refs = spark.createDataFrame(
+        [("a", "approved", "source", ("file", None), "f/1", "0" * 64),
+         ("b", "candidate", "source", None, None, None),
+         ("c", "candidate", "source", ("file", None), "f/2", None)],
+        "sample_id string, review_status string, role string, "
+        "ref struct<kind:string,member_name:string>, path string, expected string")
+    inventory = spark.createDataFrame([("f/1", "1" * 64)], "path string, sha256 string")
+    found = C.asset_issues(refs, inventory)
+    assert sorted(map(tuple, found.collect())) == [
+        ("a", "SOURCE_HASH_MISMATCH"), ("b", "MISSING_SOURCE_REF"), ("c", "MISSING_SOURCE")]
+    assert "Broadcast" not in plan(found)
+
+
+def test_links_are_not_broadcast(spark):
+    day = "date'2024-01-01'"
+    samples = spark.sql(f"""
+        select id as sample_id, 'M' as market, {day} + n as period_start, {day} + n + 6 as period_end,
+               'approved' as review_status, 'runnable' as workflow_status,
+               cast(p as {LINK}) as previous_source
+        from values ('a', 0, named_struct('kind', 'seed_file', 'sample_id', null, 'path', 's',
+                     'sha256', 'x')),
+                    ('b', 7, named_struct('kind', 'catalog_sample', 'sample_id', 'a', 'path', null,
+                     'sha256', null)),
+                    ('c', 9, named_struct('kind', 'catalog_sample', 'sample_id', 'a', 'path', null,
+                     'sha256', null)),
+                    ('d', 0, named_struct('kind', 'catalog_sample', 'sample_id', null, 'path', 's',
+                     'sha256', null)),
+                    ('e', 0, null) as t(id, n, p)""")
+    seeds = spark.createDataFrame([("s", "0" * 64)], "path string, sha256 string")
+    found = C.previous_issues(samples, seeds)
+    assert sorted(map(tuple, found.collect())) == [
+        ("a", "INVALID_PREVIOUS_SEED_SHA256"), ("c", "PREVIOUS_SAMPLE_NOT_ADJACENT"),
+        ("d", "PREVIOUS_SAMPLE_MISSING"), ("e", "MISSING_PREVIOUS_SOURCE")]
+    assert "Broadcast" not in plan(found)
