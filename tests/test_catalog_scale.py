@@ -45,3 +45,15 @@ def test_links_are_not_broadcast(spark):
         ("a", "INVALID_PREVIOUS_SEED_SHA256"), ("c", "PREVIOUS_SAMPLE_NOT_ADJACENT"),
         ("d", "PREVIOUS_SAMPLE_MISSING"), ("e", "MISSING_PREVIOUS_SOURCE")]
     assert "Broadcast" not in plan(found)
+
+
+def test_replay_is_not_broadcast(spark):
+    rows = [(k, "runnable", True, True, True, "seed_file" if k == "a" else "catalog_sample", p)
+            for k, p in (("a", None), ("b", "a"), ("c", "d"), ("d", "c"), ("e", None))]
+    samples = spark.createDataFrame(
+        rows, "sample_id string, workflow_status string, integrity_ok boolean, "
+        "source_ok boolean, own_ok boolean, previous_kind string, previous_id string")
+    found = C.replay(samples)
+    assert sorted((r.sample_id, r.status) for r in found.collect()) == [
+        ("a", "PASS"), ("b", "PASS"), ("c", "FAIL"), ("d", "FAIL"), ("e", "FAIL")]
+    assert "Broadcast" not in plan(found)
