@@ -57,3 +57,27 @@ def test_replay_is_not_broadcast(spark):
     assert sorted((r.sample_id, r.status) for r in found.collect()) == [
         ("a", "PASS"), ("b", "PASS"), ("c", "FAIL"), ("d", "FAIL"), ("e", "FAIL")]
     assert "Broadcast" not in plan(found)
+
+
+def test_bundles_of_one_kind_are_ranked_once(spark):
+    """Two hundred bundles of one market, token and folder make one window's worth of decks; a
+    bundle that stands twice keeps the better score of a deck."""
+    bundles = spark.createDataFrame(
+        [("m", k, "f", "t") for k in range(200)] + [("m", 0, "g", "u"), ("m", 300, None, None)],
+        "market string, bundle_id long, folder string, token string")
+    decks = spark.createDataFrame(
+        [("m", 1, "f", "x", ["t"], ["t"]), ("m", 2, "g", "x", ["u"], ["u"]),
+         ("m", 3, "g", "m x", [], ["t", "u"])],
+        "market string, deck_id long, folder string, file_name string, primary array<string>, "
+        "visible array<string>")
+    found = C.pair_candidates(bundles, decks)
+    rows = {(r.bundle_id, r.place): (r.deck_id, r.score, r.auto_pair) for r in found.collect()}
+    for k in range(1, 200):
+        assert [rows[k, p] for p in (1, 2, 3)] == [(1, 120, True), (3, 50, False), (2, 0, False)]
+    assert [rows[0, p] for p in (1, 2, 3)] == [(1, 120, False), (2, 120, False), (3, 70, False)]
+    assert [rows[300, p] for p in (1, 2, 3)] == [(3, 10, False), (1, 0, False), (2, 0, False)]
+    assert len(rows) == 603
+    # the decks of the pools meet market, token and folder, and no bundle
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+             if "bundle_id" in x and "hit" in x]
+    assert not joins
