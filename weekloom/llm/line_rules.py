@@ -1,17 +1,18 @@
 """Quality rules: word and symbol counts of a text, and cross-document line frequency.
 
 Lines are normalised (lower case, runs of digits to 0, white space squeezed) and hashed. A line is
-above the limit at a host when more than ``LINE_LIMIT`` distinct documents of the host hold it;
-equal texts are one document, so that copies do not deplete each other. Such lines are removed,
-and a document is depleted when less than ``MIN_KEPT`` of its characters in lines remain.
+above the limit at a host when more than ``LINE_LIMIT`` distinct documents of the host hold it,
+copies of one text under several ids included. Such lines are removed, and a document is depleted
+when less than ``MIN_KEPT`` of its characters in lines remain.
 
 All of it is DataFrame code. Documents with the same host and text share one verdict, so joins
 run on these and not on the id. The hot side of a join is a plain scan, which adaptive execution
 can split; counts are combined before each shuffle.
 
 Defined cases: a null text counts as empty (no words, so it fails); a null host is a host of its
-own; empty lines are never counted; repeated rows repeat and count as one document; further
-columns are not looked at; an empty table gives an empty result.
+own; empty lines are never counted; repeated rows (equal id, host and text) repeat and count as
+one document, a null id being an id of its own; an id with several texts is a document for each;
+further columns are not looked at; an empty table gives an empty result.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,9 +79,19 @@ def line_table(docs: DataFrame) -> DataFrame:
     return hashed.groupBy("host", "key", "line").agg(F.max("n_chars").alias("n_chars"))
 
 
-def frequent_lines(lines: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
-    """(host, line, n_docs) of lines that more than ``limit`` documents of a host hold."""
-    return (lines.groupBy("host", "line").agg(F.count("*").alias("n_docs"))
+def copied(docs: DataFrame) -> DataFrame:
+    """(host, key, n_docs) of the texts that several documents (``doc_id``) of a host hold."""
+    ids = docs.select("host", "key", "doc_id").distinct()
+    return ids.groupBy("host", "key").agg(F.count("*").alias("n_docs")).where("n_docs > 1")
+
+
+def frequent_lines(lines: DataFrame, copies: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
+    """(host, line, n_docs) of lines that more than ``limit`` documents of a host hold; a text's
+    lines stand in ``lines`` once, and ``copies`` has the texts held by several."""
+    c = copies.select(F.col("host").alias("c_host"), F.col("key").alias("c_key"), "n_docs")
+    held = lines.join(c, F.col("host").eqNullSafe(F.col("c_host"))
+                      & (F.col("key") == F.col("c_key")), "left")
+    return (held.groupBy("host", "line").agg(F.sum(F.coalesce("n_docs", F.lit(1))).alias("n_docs"))
             .where(F.col("n_docs") > limit))
 
 
@@ -106,7 +117,7 @@ def line_rules(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT,
     """Base counts, ``base_failed``, ``depleted`` and ``kept`` of every document."""
     ready = prepared(docs, host)
     lines = stage(line_table(ready), "lines")
-    frequent = stage(frequent_lines(lines, limit), "frequent")
+    frequent = stage(frequent_lines(lines, stage(copied(ready), "copies"), limit), "frequent")
     gone = stage(depleted(lines, frequent, min_kept), "depleted").select(
         F.col("host").alias("g_host"), F.col("key").alias("g_key"))
     counts = base_counts(ready)
@@ -123,7 +134,8 @@ def line_rules(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT,
 def cleaned(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT) -> DataFrame:
     """(host, key, text): each distinct text of a host without its lines above the limit."""
     ready = prepared(docs, host)
-    frequent = stage(frequent_lines(stage(line_table(ready), "lines"), limit), "frequent")
+    lines, copies = stage(line_table(ready), "lines"), stage(copied(ready), "copies")
+    frequent = stage(frequent_lines(lines, copies, limit), "frequent")
     f = frequent.select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
     texts = ready.groupBy("host", "key").agg(F.first("text").alias("text"))
     both = F.arrays_zip(F.split("text", "\n", -1).alias("raw"),
