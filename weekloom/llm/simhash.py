@@ -11,9 +11,9 @@ fingerprints, pairs are not made: its members enter one key for each fingerprint
 and all members of such a key are within 2 bits of each other, so a star of links is exact.
 
 The pipeline's stage (``keep_one``) has another bound, five-word shingles and an exact Jaccard
-likeness of 0.8, at which 64-bit fingerprints differ by 10 bits with a deviation of 3. No grid of
-segment counts tells 18 bits from the 32 of unrelated texts, so its candidates come from shared
-smallest shingle hashes and fingerprints of 256 bits.
+likeness of 0.8. Its fingerprints have 256 bits, and the first 64 go to the same grid. At 0.8 these
+differ by 10 bits with a deviation of 3, and no grid of segment counts tells 18 bits from the 32 of
+unrelated texts; so what the grid cannot hold is found by shared smallest shingle hashes.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and links like
 any other; repeated rows share their class; null ids are left out of the least id (a class of
@@ -316,6 +316,19 @@ def candidate_links(classes: DataFrame, block: int) -> DataFrame:
                  "candidates")
 
 
+def grid_links(classes: DataFrame) -> DataFrame:
+    """(a, b): links that connect the classes which the grid of operator 1 connects by the first
+    64 bits of their fingerprints."""
+    own = stage(classes.where("n > 0").select("s", F.col("fp")[0].alias("fp")), "prints")
+    tops = stage(own.groupBy("fp").agg(F.min("s").alias("top")), "tops")
+    equal = own.join(tops, "fp").where("s <> top").select(F.col("top").alias("a"),
+                                                          F.col("s").alias("b"))
+    other = tops.select(F.col("fp").alias("b"), F.col("top").alias("b_top"))
+    near = links(tops.select("fp")).join(
+        tops.select(F.col("fp").alias("a"), F.col("top").alias("a_top")), "a").join(other, "b")
+    return equal.unionByName(near.select(F.col("a_top").alias("a"), F.col("b_top").alias("b")))
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (least and other columns) with ``h``, the sorted hashes of the shingles of the
     text that ``least`` names, as often as that row stands in the table."""
@@ -372,7 +385,8 @@ def verified_links(dealt: DataFrame, block: int) -> DataFrame:
 
 def near_roots(docs: DataFrame, classes: DataFrame, block: int = BLOCK_SETS) -> DataFrame:
     """(node, root) of the shingle sets that link with others."""
-    near = components(candidate_links(classes, block))
+    near = components(stage(grid_links(classes).unionByName(candidate_links(classes, block)),
+                            "near"))
     # a root is no node of its own
     near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
     groups = stage(classes.join(near, F.col("s") == F.col("node")).select(
@@ -388,7 +402,8 @@ def keep_one(docs: DataFrame, block: int = BLOCK_SETS) -> DataFrame:
     the least text hash; rows without an id come last, and of equal rows one stays.
 
     Documents link when their distinct five-word shingles have a Jaccard likeness of ``SIMILAR``
-    or more; groups are what links connect. Candidates share one of their ``LEAST`` smallest
+    or more; groups are what links connect. Candidates are what the SimHash grid links
+    (``MAX_BITS`` of the first 64 bits), and those that share one of their ``LEAST`` smallest
     shingle hashes, which a linked pair does but for a chance of 0.2 ** 8 (3e-6), and differ in
     at most ``STAGE_BITS`` of the 256 bits of their fingerprints, where 39 with a deviation of 6
     is usual at 0.8. Every link is verified on the hashes of all shingles, inside tasks that hold
