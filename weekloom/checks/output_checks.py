@@ -9,7 +9,7 @@ from pyspark.sql.types import BinaryType
 
 from weekloom import fixed
 from weekloom.checks import ads
-from weekloom.checks.registry import check, table
+from weekloom.checks.registry import check, spread, table
 from weekloom.checks.rule_checks import (CLEAN, all_issues, lineage, lineage_sql, reports,
                                          staged_facts)
 from weekloom.checks.catalog_check_queries import text
@@ -95,7 +95,8 @@ select c_custkey as k, unnest(['Data', 'Data', 'More']) as sheet,
 from customer""")
 def read_workbook(spark, sf):
     k = F.col("c_custkey")
-    files = table(spark, sf, "customer").select(k.alias("k"), pack_workbook(
+    files = spread(table(spark, sf, "customer").select("c_custkey", "c_name")).select(
+        k.alias("k"), pack_workbook(
         F.col("c_name"), F.concat(text(k), F.lit(".5")), 45292 + k % 28).alias("content"))
     cells = F.transform("cells", lambda c: F.concat_ws(":", c["s"], c["t"]))
     return R.read_workbooks(files, ["k"]).select("k", "sheet", "row_no",
@@ -127,7 +128,7 @@ from customer where c_custkey % 10 <> 3
 union all
 select c_custkey, null, null, null, true from customer where c_custkey % 10 = 3""")
 def expand_archives(spark, sf):
-    files = table(spark, sf, "customer").select(
+    files = spread(table(spark, sf, "customer").select("c_custkey")).select(
         F.col("c_custkey").alias("k"), pack_archive(F.col("c_custkey")).alias("content"))
     return R.expand_archives(files, ["k"]).select(
         "k", "nested", "member", F.decode("content", "UTF-8").alias("body"),
