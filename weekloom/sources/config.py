@@ -185,11 +185,13 @@ def config_problems(configs: DataFrame) -> DataFrame:
     return result
 
 
-def read_profiles(configs: DataFrame) -> DataFrame:
+def read_profiles(configs: DataFrame, problems: DataFrame | None = None) -> DataFrame:
     """Profiles of the configurations without a problem, with defaults filled in; products stand
-    in the order of the text."""
-    bad = config_problems(configs).select("profile").distinct()
-    rows = parsed(configs).join(bad, "profile", "left_anti")
+    in the order of the text. ``problems`` is what ``config_problems`` gives, if already known."""
+    if problems is None:
+        problems = config_problems(configs)
+    bad = problems.select("profile").distinct()
+    rows = parsed(configs.join(bad.hint("merge"), "profile", "left_anti"))
     inner = {n: opened_map(F.try_element_at("m", F.lit(n))["v"]) for n in ("history", "quality")}
     fields = lambda model, m: [value_of(n, f, m) for n, f in MODELS[model].items()
                                if f.kind not in ("array", "object")]
