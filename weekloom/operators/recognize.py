@@ -41,6 +41,10 @@ def blank_cell(cell: Column) -> Column:
     return cell["s"].isNull() | ~cell["s"].rlike(f"[^{SPACE}]")
 
 
+#: headers that the kind with the fewest requires; each needs a cell of its own
+FEWEST_HEADERS = min(len({header_key(h) for h in hs}) for hs in fixed.FINGERPRINTS.values())
+
+
 def matched_kinds(line: Column) -> Column:
     """Kinds whose required headers all occur in a header line (a column, not an expression:
     it is searched once per required header)."""
@@ -81,7 +85,7 @@ def blank_tail(raw: DataFrame) -> DataFrame:
 def header_rows(raw: DataFrame) -> DataFrame:
     """The first row of each sheet, within the scan limit, that classifies as one kind."""
     probe = raw.where((F.col("row_no") <= fixed.HEADER_SCAN_ROWS)
-                      & (F.size(F.filter("cells", lambda c: ~blank_cell(c))) >= 2))
+                      & (F.size(F.filter("cells", lambda c: ~blank_cell(c))) >= FEWEST_HEADERS))
     probe = probe.withColumn("line", header_line(F.transform("cells", lambda c: c["s"])))
     probe = probe.withColumn("kinds", matched_kinds(F.col("line")))
     # chosen inside the aggregate: a filter here would be pushed below and search each row twice
