@@ -1,15 +1,18 @@
 """Token counts and packing against the tokenizer library."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from tests.llm.conftest import odd_rows
 from weekloom.llm.packing import CAPACITY, pack, pattern_places, shortest_pack_first
 from weekloom.llm.token_counts import longest_within, prefix_table, tokens_at
-from weekloom.llm.tokens import IdStore, PrefixCounter, load_tokenizer, vocabulary_path
+from weekloom.llm.tokens import (
+    IdStore, PrefixCounter, load_tokenizer, patterns, vocabulary_path)
 
 BITS = ["a", "th", "e", " ", "  ", "\n", "'", "s", "'ll", "é", "中文", "😀", "1", "22", "!", "...",
         "<|endoftext|>", "<|end", "\t", "\x1c", " ", "don't", " the", "\r\n", "====",
@@ -31,6 +34,35 @@ def test_counts_at_every_prefix_and_ids_match_the_library():
         assert np.frombuffer(store.ids(text), "<u4").tolist() == encode(text), text
 
 
+def test_ids_of_a_column_in_small_blocks():
+    path = vocabulary_path()
+    store, library = IdStore(path), load_tokenizer(path)
+    more = ["'s's'll", "a 's", "a\t's", "\u3000\u3000x", "x\u3000", "'", "'v", "it'd're'x", None, ""]
+    column = pa.array([*more, *texts(300), *(r[1] for r in odd_rows())]).slice(1)
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in column.to_pylist()]
+    for store.BLOCK, store.LIMIT in ((1, 9), (40, 500_000), (1 << 21, 500_000)):
+        assert [np.frombuffer(x, "<u4").tolist() for x in store.each(column)] == want
+    assert not list(store.each(column.slice(0, 0)))
+
+
+def test_known_pieces_cost_less_than_a_look_up_each():
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9)))
+             for _ in range(3000)]
+    text = " ".join(r.choices(words, k=300_000))
+    store, pieces = IdStore(vocabulary_path()), patterns(False)[0]
+    store.ids(text)
+    known = {p: b"abcd" * 2 for p in pieces.findall(text)}
+    took = [], []
+    for _ in range(5):
+        for k, work in enumerate((lambda: b"".join(map(known.get, pieces.findall(text))),
+                                  lambda: store.ids(text))):
+            began = time.process_time()
+            work()
+            took[k].append(time.process_time() - began)
+    assert min(took[1]) < 0.8 * min(took[0]), took
+
+
 def test_budget_questions():
     counts = PrefixCounter(vocabulary_path()).counts("the stones of the river")
     for budget in range(0, 8):

@@ -91,8 +91,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         store = IdStore(path)
         for batch in batches:
             at, rows = [], []
-            for k, text in enumerate(batch.column("text")):
-                ids = memoryview(store.ids(text.as_py() or "") + CLOSE)
+            for k, found in enumerate(store.each(batch.column("text"))):
+                ids = memoryview(found + CLOSE)
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     part = ids[4 * start:4 * (start + capacity)]

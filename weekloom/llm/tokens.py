@@ -7,12 +7,15 @@ interpreter's own Unicode tables; code points that those do not know are put to
 import json
 import os
 import re
+import struct
 import sys
-import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import category
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -35,7 +38,7 @@ def unknown_letters() -> dict[int, str]:
     split = load_tokenizer(vocabulary_path()).pre_tokenizer.pre_tokenize_str
     found = {}
     for m in regex.finditer(r"[\p{L}\p{N}]", "".join(
-            chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn")):
+            chr(c) for c in range(sys.maxunicode + 1) if category(chr(c)) == "Cn")):
         kind = [k for k, other in (("L", "a"), ("N", "1")) if len(split(other + m[0])) == 1]
         found.update({ord(m[0]): k for k in kind})
     return found
@@ -48,7 +51,7 @@ def char_classes(top: int) -> tuple[str, str]:
     new = unknown_letters()
     begin, kind = 0, None
     for c in range(top + 2):
-        now = new.get(c, unicodedata.category(chr(c))[0]) if c <= top else None
+        now = new.get(c, category(chr(c))[0]) if c <= top else None
         now = now if now in found else None
         if now != kind:
             if kind:
@@ -93,59 +96,6 @@ def special_pattern(path: str):
     return re.compile("|".join(sorted(names, key=len, reverse=True)) or r"(?!)")
 
 
-class IdStore:
-    """Ids of texts as little-endian unsigned 32-bit bytes, with the pieces seen before kept."""
-
-    LIMIT = 500_000
-
-    def __init__(self, path: str):
-        self.library = load_tokenizer(path)
-        self.special = dict(special_tokens(path))
-        self.cut = special_pattern(path)
-        self.known: dict[str, bytes] = {}
-        names = self.library.get_vocab()
-        self.width = np.zeros(max(names.values()) + 1, np.int64)
-        for name, i in names.items():  # a character of a name stands for one byte
-            self.width[i] = len(name)
-
-    def learn(self, pieces: list[str]) -> None:
-        missing = list({p for p in pieces if p not in self.known})
-        if len(self.known) + len(missing) > self.LIMIT:
-            self.known.clear()
-            missing = list(set(pieces))
-        # pieces with a space before them stay apart when joined, so one call takes them all
-        spaced = [p for p in missing if p[0] == " " and not SPACES.match(p, 1)[0]]
-        alone = [p for p in missing if p[0] != " " or SPACES.match(p, 1)[0]]
-        if spaced:
-            ids = np.array(self.library.encode(
-                "".join(spaced), add_special_tokens=False).ids, "<u4")
-            ends = np.cumsum(self.width[ids])
-            cuts = np.cumsum([len(p.encode()) for p in spaced])
-            stops = (np.searchsorted(ends, cuts) + 1) * 4
-            raw, at = ids.tobytes(), 0
-            for piece, stop in zip(spaced, stops.tolist()):
-                self.known[piece] = raw[at:stop]
-                at = stop
-        for piece, found in zip(alone, self.library.encode_batch_fast(
-                alone, add_special_tokens=False)):
-            self.known[piece] = np.array(found.ids, "<u4").tobytes()
-
-    def plain(self, text: str) -> bytes:
-        pieces = split_with(text)[0].findall(text)
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            self.learn(pieces)
-            found = map(self.known.__getitem__, pieces)
-        return b"".join(found)
-
-    def ids(self, text: str) -> bytes:
-        out, at = [], 0
-        for m in self.cut.finditer(text):
-            out += [self.plain(text[at:m.start()]), self.special[m[0]].to_bytes(4, "little")]
-            at = m.end()
-        return b"".join([*out, self.plain(text[at:] if at else text)])
-
-
 def byte_alphabet() -> dict[str, int]:
     """The characters by which the vocabulary file writes bytes: printable ones stand for
     themselves, the others for the next free code points from 256 on."""
@@ -159,6 +109,121 @@ def byte_alphabet() -> dict[str, int]:
     return table
 
 
+@lru_cache(None)
+def char_kinds() -> np.ndarray:
+    """Class of every code point: letter (1), number (2), white space (3) or other (0)."""
+    number = {"L": 1, "N": 2}
+    kinds = np.array([number.get(category(chr(c))[0], 0) for c in range(sys.maxunicode + 1)],
+                     np.uint8)
+    for c, kind in unknown_letters().items():
+        kinds[c] = number[kind]
+    kinds[[ord(m) for m in re.findall(f"[{SPACE}]", "".join(map(chr, range(0x3001))))]] = 3
+    return kinds
+
+
+ASCII = bytes(range(128))
+
+
+def piece_starts(data: bytes, breaks: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts that lie end to end start, by bytes, and the end of the last one.
+
+    Cuts as the first of ``patterns`` does, at all places at once. ``breaks`` has the places that
+    no piece crosses, such as the starts of the texts.
+    """
+    raw = np.frombuffer(data + b"  ", np.uint8)
+    raw, after = raw[:-2], raw[1:]
+    kind = char_kinds()[raw]
+    wide = raw >= 0x80
+    codes = np.frombuffer(data.translate(None, ASCII).decode().encode("utf-32-le"), "<u4")
+    kind[wide] = np.repeat(char_kinds()[codes], 2 + (codes >= 0x800) + (codes >= 0x10000))
+    first = np.zeros(len(raw) + 1, bool)
+    first[breaks] = first[0] = first[-1] = True
+    start = first.copy()
+    start[1:-1] |= kind[1:] != kind[:-1]
+    # of white space before something else, the last character stays apart, or joins if a space
+    ends = np.flatnonzero((kind[:-1] == 3) & start[1:-1] & ~first[1:-1]) + 1
+    last = ends - 1
+    for _ in range(2):
+        last -= (raw[last] & 0xC0) == 0x80
+    start[last] = True
+    start[ends[raw[ends - 1] == 0x20]] = False
+    # contractions, where a piece starts with the quote
+    quote = np.flatnonzero(raw == ord("'"))
+    quote = quote[start[quote] & ~first[quote + 1]]
+    one = np.isin(after[quote], np.frombuffer(b"stmd", np.uint8))
+    two = ~first[quote + 2 - one] & np.isin(
+        after[quote].astype(np.int64) << 8 | after[quote + 1],
+        [int.from_bytes(x, "big") for x in (b"re", b"ve", b"ll")])
+    start[quote[one | two] + 1] = False
+    start[quote[one] + 2] = True
+    start[quote[two] + 3] = True
+    return np.flatnonzero(start)
+
+
+class IdStore:
+    """Ids of texts as little-endian unsigned 32-bit bytes, with the pieces seen before kept."""
+
+    LIMIT = 500_000
+    BLOCK = 1 << 21
+
+    def __init__(self, path: str):
+        self.model = load_tokenizer(path).model
+        self.names = {b: ord(c) for c, b in byte_alphabet().items()}
+        self.special = {t: i.to_bytes(4, "little") for t, i in special_tokens(path)}
+        self.cut = re.compile(special_pattern(path).pattern.encode())
+        self.known = dict(self.special)
+
+    def learn(self, pieces: list[str]) -> None:
+        missing = [p for p in pieces if p not in self.known]
+        if len(self.known) + len(missing) > self.LIMIT:
+            self.known = dict(self.special)
+            missing = [p for p in pieces if p not in self.known]
+        # the split is done, so a piece goes straight to the library's merges
+        for piece in missing:
+            found = self.model.tokenize(
+                piece.encode().decode("latin-1").translate(self.names))
+            self.known[piece] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    def block(self, data: bytes, ends: np.ndarray) -> Iterator[bytes]:
+        """Ids of texts that lie end to end; ``ends`` has 0 and where each of them ends."""
+        marks = [m.span() for begin, end in zip(ends.tolist(), ends[1:].tolist())
+                 for m in self.cut.finditer(data, begin, end)]
+        starts = piece_starts(data, np.concatenate([ends, *marks]).astype(np.int64))
+        if marks:
+            inside = np.zeros(len(data) + 1, bool)
+            for begin, end in marks:
+                inside[begin + 1:end] = True
+            starts = starts[~inside[starts]]
+        pieces = pa.LargeStringArray.from_buffers(
+            len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data)).dictionary_encode()
+        names, nth = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        self.learn(names)
+        found = [self.known[p] for p in names]
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        upto = np.concatenate([[0], np.cumsum(sizes[nth])])
+        places = np.arange(upto[-1]) + np.repeat(begins[nth] - upto[:-1], sizes[nth])
+        ids = np.frombuffer(b"".join(found), "<u4")[places]
+        cuts = upto[np.searchsorted(starts, ends)].tolist()
+        return (ids[i:j].tobytes() for i, j in zip(cuts, cuts[1:]))
+
+    def each(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text of a column; a null counts as empty. Some MB are taken at a time."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        size, buffers = len(texts), texts.buffers()
+        if not size:
+            return
+        ends = np.frombuffer(buffers[1], np.int64)[texts.offset:texts.offset + size + 1]
+        data, at = memoryview(buffers[2] or b""), 0
+        while at < size:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + self.BLOCK, "right")) - 1)
+            yield from self.block(bytes(data[ends[at]:ends[to]]), ends[at:to + 1] - ends[at])
+            at = to
+
+    def ids(self, text: str) -> bytes:
+        return next(self.each(pa.array([text], pa.large_string())))
+
+
 class PrefixCounter:
     """Exact token counts at every prefix of a text, by dynamic programming.
 
