@@ -231,6 +231,22 @@ def test_language_of_odd_rows(odd, empty):
     assert {x["score"] for x in one} == {0.0, 1.0}
 
 
+def test_kept_rows_go_through_python_with_one_text(odd, monkeypatch):
+    sent, of_frame = [], type(odd).mapInArrow
+
+    def noted(frame, *args, **more):
+        sent.extend(frame.schema.simpleString().split("text:string")[1:])
+        return of_frame(frame, *args, **more)
+
+    dictionaries = language.learn(odd)
+    monkeypatch.setattr(type(odd), "mapInArrow", noted)
+    kept = language.keep_identified(odd, dictionaries)
+    assert len(sent) == 1
+    want = Counter(odd.collect()) - Counter(kept.collect())
+    lost = language.identify(odd, dictionaries).where("rejected").collect()
+    assert Counter(r["doc_id"] for r in want.elements()) == Counter(r["doc_id"] for r in lost)
+
+
 def test_pairs_identity():
     import numpy as np
 

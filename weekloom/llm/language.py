@@ -15,6 +15,7 @@ are not looked at; an empty table gives an empty result.
 """
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,10 +69,12 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS,
     return {lang: "\n".join(parts).encode() for lang, parts in sorted(found.items())}
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes],
-             min_margin: float = MIN_MARGIN) -> DataFrame:
-    """(doc_id, lang_pred, score, rejected); the score is the saving over the runner-up."""
+def judged(rows: DataFrame, dictionaries: dict[str, bytes], min_margin: float,
+           text_of: Callable) -> DataFrame:
+    """The first column of the rows, lang_pred, score and rejected. ``text_of`` takes the texts
+    from a batch, so that they need not be sent beside a column that holds them."""
     names = sorted(dictionaries)
+    first = rows.columns[0]
 
     def run(batches):
         import zstandard
@@ -97,26 +100,31 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes],
             return names[sizes.index(best)], margin, margin < min_margin
 
         for batch in batches:
-            rows = [judge(t.as_py()) for t in batch.column("text")]
+            rows = [judge(t.as_py()) for t in text_of(batch)]
             pred, score, rejected = zip(*rows) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(pred, pa.string()),
+                [batch.column(first), pa.array(pred, pa.string()),
                  pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
-                ["doc_id", "lang_pred", "score", "rejected"])
+                [first, "lang_pred", "score", "rejected"])
+
+    return rows.mapInArrow(run, schema_after(
+        rows, [first], "lang_pred string, score double, rejected boolean"))
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema_after(
-        docs, ["doc_id"], "lang_pred string, score double, rejected boolean"))
+
+def identify(docs: DataFrame, dictionaries: dict[str, bytes],
+             min_margin: float = MIN_MARGIN) -> DataFrame:
+    """(doc_id, lang_pred, score, rejected); the score is the saving over the runner-up."""
+    return judged(docs.select("doc_id", "text"), dictionaries, min_margin,
+                  lambda batch: batch.column("text"))
 
 
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes],
                     min_margin: float = MIN_MARGIN) -> DataFrame:
     """The rows whose language could be told, with all their columns."""
-    judged = "llm_judged_text"
-    schema = docs.schema
-    texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"),
-                        F.col("text"))
-    return (identify(texts, dictionaries, min_margin).withColumnRenamed("doc_id", judged)
-            .where("not rejected").select(f"{judged}.*").to(schema))
+    at = docs.columns.index("text")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return (judged(whole, dictionaries, min_margin, lambda batch: batch.column("row").field(at))
+            .where("not rejected").select("row.*").to(docs.schema))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
