@@ -130,7 +130,7 @@ def test_sql_twins(spark, name, tmp_path):
     folder = "/root/testdata/sf0.001"
     found = queries.QUERIES[name](spark, folder)
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     names = ", ".join(sorted(found.columns))
     want = Counter(con.execute(f"SELECT {names} FROM ({queries.ORACLES[name]})").fetchall())
