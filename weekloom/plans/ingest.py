@@ -89,7 +89,7 @@ def weekly_from_files(spark: SparkSession, path: str, profiles: DataFrame, histo
 
     With the ``outcomes`` of earlier runs, bundles whose bytes have not changed since are left
     out before anything of them is decoded. ``context`` names the configuration; a bundle is
-    unchanged only under the same one.
+    unchanged only under the same one. ``prints`` has the fingerprint of each bundle's bytes.
     """
     content = D.contents(spark, path)
     asked = cut(D.triaged(D.listed(spark, path) if listing is None else listing))
@@ -98,6 +98,4 @@ def weekly_from_files(spark: SparkSession, path: str, profiles: DataFrame, histo
         same = prints.join(D.changed_bundles(prints, outcomes), "bundle_id", "left_anti")
         asked = cut(asked.join(same, "bundle_id", "left_anti"))
     result = weekly_from_decoded(D.decoded(asked, content), profiles, history)
-    of_run = result["bundles"].join(result["sources"], "bundle_id", "left").join(
-        prints, "bundle_id", "left")
-    return {**result, "sources": cut(of_run)}
+    return {**result, "prints": prints}

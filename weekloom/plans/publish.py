@@ -65,11 +65,11 @@ def records(result: dict, reports: DataFrame, load_ts: int) -> DataFrame:
 
 def with_digests(df: DataFrame, result: dict) -> DataFrame:
     """The digests of each bundle's sources, where the run knows them."""
-    names = ["source_sha256", "files_sha256"]
-    known = result.get("sources")
-    if known is None:
-        return df.withColumns({n: F.lit(None).cast("string") for n in names})
-    return df.join(known.select("bundle_id", *names), "bundle_id", "left")
+    for part, digest in (("sources", "source_sha256"), ("prints", "files_sha256")):
+        known = result.get(part)
+        df = (df.withColumn(digest, F.lit(None).cast("string")) if known is None else
+              df.join(known.select("bundle_id", digest), "bundle_id", "left"))
+    return df
 
 
 def stored(spark: SparkSession, folder: str, table: str) -> DataFrame:
