@@ -10,8 +10,8 @@ import regex
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import odd_rows, prose
-from weekloom.llm import decontaminate, language, licenses, quality_model
-from weekloom.llm.common import held_out
+from weekloom.llm import decontaminate, language, licenses, packing, quality_model, repeats, simhash
+from weekloom.llm.common import BATCH_BYTES, BATCH_SETTING, held_out
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -247,6 +247,35 @@ def test_kept_rows_go_through_python_with_one_text(odd, monkeypatch):
     assert Counter(r["doc_id"] for r in want.elements()) == Counter(r["doc_id"] for r in lost)
 
 
+def test_python_takes_an_input_split_in_parts(spark, monkeypatch):
+    docs = spark.range(0, 3000, 1, 1).select(
+        F.expr("nullif(id, -1)").alias("doc_id"),
+        F.expr("nullif(repeat('stone river cloud ', 240) || id, '')").alias("text"))
+    limit, of_frame = BATCH_BYTES * 3 // 2, type(docs).mapInArrow
+
+    def guarded(frame, run, *args):
+        def small(batches):
+            for batch in batches:
+                assert batch.nbytes <= limit
+                yield batch
+        return of_frame(frame, lambda batches: run(small(batches)), *args)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", guarded)
+    items = spark.createDataFrame([(1, prose(1, 9))], "item_id long, text string")
+    steps = [lambda: language.keep_identified(docs, {"en": b"stone river cloud"}),
+             lambda: simhash.sketches(docs),
+             lambda: repeats.packed_texts(repeats.keyed(docs)),
+             lambda: decontaminate.keep_clean(docs, items),
+             lambda: packing.pieces(docs).select("doc_id").distinct()]
+    for step in steps:
+        spark.conf.unset(BATCH_SETTING)
+        assert step().count() == 3000
+    spark.conf.set(BATCH_SETTING, "1m")
+    steps[0]()
+    assert spark.conf.get(BATCH_SETTING) == "1m"
+    spark.conf.unset(BATCH_SETTING)
+
+
 def test_pairs_identity():
     import numpy as np
 

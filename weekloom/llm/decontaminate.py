@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import documents, schema_after
+from weekloom.llm.common import documents, schema_after, through_python
 from weekloom.llm.licenses import joined_words
 
 WIDTH = 5
@@ -215,7 +215,7 @@ def containment_pairs(docs: DataFrame, benchmark: DataFrame, at_least: float = C
                      pa.array(columns[0], item_arrow), pa.array(columns[1], pa.int64()),
                      pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.float64())],
                     ["doc_id", "item_id", "n_shared", "n_shingles", "containment"])
-        return docs.select("doc_id", "text").mapInArrow(run, schema)
+        return through_python(docs.select("doc_id", "text"), run, schema)
 
     found = None
     for items in item_blocks(benchmark, block_items):
@@ -239,7 +239,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, at_least: float = CONTAINE
         return run
 
     for items in item_blocks(benchmark, block_items):
-        docs = docs.mapInArrow(sift(items), schema)
+        docs = through_python(docs, sift(items), schema)
     return docs
 
 

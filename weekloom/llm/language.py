@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import documents, held_out, schema_after, spread_sample
+from weekloom.llm.common import documents, held_out, schema_after, spread_sample, through_python
 
 SAMPLE_DOCS = 96
 SAMPLE_BYTES = 1 << 17
@@ -107,7 +107,7 @@ def judged(rows: DataFrame, dictionaries: dict[str, bytes], min_margin: float,
                  pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                 [first, "lang_pred", "score", "rejected"])
 
-    return rows.mapInArrow(run, schema_after(
+    return through_python(rows, run, schema_after(
         rows, [first], "lang_pred string, score double, rejected boolean"))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import documents, ranked, schema_after, stage
+from weekloom.llm.common import documents, ranked, schema_after, stage, through_python
 from weekloom.llm.tokens import IdStore, vocabulary_path
 
 CAPACITY = 1024
@@ -103,8 +103,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
                  *[pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 4)]],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, schema_after(docs, ["doc_id"], PIECES))
+    return through_python(docs.select("doc_id", "text"), run,
+                          schema_after(docs, ["doc_id"], PIECES))
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

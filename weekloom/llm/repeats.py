@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import documents, schema_after, scratch, stage
+from weekloom.llm.common import documents, schema_after, scratch, stage, through_python
 from weekloom.llm.regions import runs
 from weekloom.llm.suffix_sort import repeated_places
 
@@ -71,8 +71,9 @@ def doc_runs(texts: DataFrame, span: int) -> DataFrame:
                 [batch.column("doc"), batch.column("k1"), batch.column("k2"), ids,
                  pa.array(found, RUN_TYPE)], ["doc", "k1", "k2", "u", "runs"])
 
-    return texts.select("doc", "k1", "k2", "text").mapInArrow(
-        run, schema_after(texts, ["doc", "k1", "k2"], f"u long, runs {RUNS}"))
+    return through_python(
+        texts.select("doc", "k1", "k2", "text"), run,
+        schema_after(texts, ["doc", "k1", "k2"], f"u long, runs {RUNS}"))
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -87,8 +88,9 @@ def packed_texts(docs: DataFrame) -> DataFrame:
                  pa.array([press(t.as_py().encode()) for t in batch.column("text")], pa.binary())],
                 ["doc", "k1", "k2", "z"])
 
-    return docs.select("doc", "k1", "k2", "text").mapInArrow(
-        run, schema_after(docs, ["doc", "k1", "k2"], "z binary"))
+    return through_python(
+        docs.select("doc", "k1", "k2", "text"), run,
+        schema_after(docs, ["doc", "k1", "k2"], "z binary"))
 
 
 def window_hashes(data: bytes, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +167,7 @@ def contents(texts: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
                                      & (F.col("k2") == F.col("w_k2"))
                                      & F.col("doc").eqNullSafe(F.col("w_doc"))).select(
         "z", "u", "places")
-    return found.mapInArrow(run, CONTENT)
+    return through_python(found, run, CONTENT)
 
 
 def near_contents(rows: DataFrame, span: int, compare=repeated_windows) -> DataFrame:
@@ -195,7 +197,8 @@ def near_contents(rows: DataFrame, span: int, compare=repeated_windows) -> DataF
             yield flush(held)
 
     near = rows.where("not crowd").select("u", "m", "a", "single", "content")
-    return near.repartition("m").sortWithinPartitions("m").mapInArrow(run, "u long, a int, e int")
+    return through_python(near.repartition("m").sortWithinPartitions("m"), run,
+                          "u long, a int, e int")
 
 
 def crowd_contents(rows: DataFrame, span: int) -> DataFrame:
@@ -210,8 +213,9 @@ def crowd_contents(rows: DataFrame, span: int) -> DataFrame:
                      pa.array(np.arange(row["a"], row["a"] + n, dtype=np.int32)),
                      pa.array(np.full(n, row["single"], bool))], ["h1", "h2", "u", "a", "single"])
 
-    windows = stage(rows.where("crowd").select("u", "a", "single", "content").mapInArrow(
-        run, "h1 long, h2 long, u long, a int, single boolean"), "windows")
+    windows = stage(through_python(
+        rows.where("crowd").select("u", "a", "single", "content"), run,
+        "h1 long, h2 long, u long, a int, single boolean"), "windows")
     twice = stage(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
                   .select("h1", "h2"), "twice")
     return (windows.where("single").join(twice, ["h1", "h2"], "left_semi")
@@ -305,7 +309,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN, characters: bool = False,
 
     packed = packed_texts(texts).join(spans, ["k1", "k2"], "left").select(
         F.col("doc").alias("doc_id"), "z", "spans")
-    return packed.mapInArrow(run, schema_after(
+    return through_python(packed, run, schema_after(
         packed, ["doc_id"],
         "n_bytes long, n_removed long, removed array<array<int>>, kept binary"))
 

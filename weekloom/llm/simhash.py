@@ -27,7 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import documents, schema_after, scratch, stage, text_key
+from weekloom.llm.common import (
+    documents,
+    schema_after,
+    scratch,
+    stage,
+    text_key,
+    through_python,
+)
 from weekloom.llm.components import components
 
 SHINGLE = 3
@@ -194,7 +201,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 ["doc_id", "key", "s", "n", "keys", "fp"])
 
     rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
-    return rows.mapInArrow(run, schema_after(
+    return through_python(rows, run, schema_after(
         rows, ["doc_id", "key"], "s long, n long, keys array<long>, fp array<long>"))
 
 
@@ -282,7 +289,8 @@ def linked_within(rows: DataFrame, by: list[str], near) -> DataFrame:
         if len(held) > 1:
             yield links_of(held)
 
-    return rows.repartition(*by).sortWithinPartitions(*by, "s").mapInArrow(run, "a long, b long")
+    return through_python(rows.repartition(*by).sortWithinPartitions(*by, "s"), run,
+                          "a long, b long")
 
 
 def block_pairs(rows: DataFrame, width: Column, carried: list[str]) -> DataFrame:
@@ -345,7 +353,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text").join(
         w, F.col("doc_id").eqNullSafe(F.col("w_id"))
         & text_key(F.col("text")).eqNullSafe(F.col("w_key"))).select(*kept, "text")
-    return rows.mapInArrow(run, schema_after(rows, kept, "h binary"))
+    return through_python(rows, run, schema_after(rows, kept, "h binary"))
 
 
 def blocks_of(n_bytes: Column, block: int) -> Column:
