@@ -24,6 +24,51 @@ def test_integrity_joins_are_not_broadcast(spark):
     assert "Broadcast" not in plan(found)
 
 
+def test_archives_that_cannot_be_read(spark, tmp_path):
+    """Zip files, one cut short, one with a spoiled member and one that is none: a reference into
+    these has one code more and no check of its members; as a plain file or whole they pass."""
+    import hashlib
+    import io
+    import zipfile
+
+    from weekloom.sources import inventory as I
+
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as archive:
+        archive.writestr("a.txt", "some text that stands in the archive as it is")
+    good = made.getvalue()
+    payloads = {"good.zip": good, "cut.zip": good[:-30], "none.zip": b"no archive",
+                "spoiled.zip": good.replace(b"some", b"sOme", 1)}
+    stamp = "path string, length bigint, modified timestamp, content binary"
+    known = I.scanned(spark.createDataFrame(
+        [(p, len(b), None, b) for p, b in payloads.items()], stamp)).cache()
+    files = known.where("member is null and sha256 is not null")
+    members = known.where("member is not null or problem is not null").selectExpr(
+        "path", "member as name", "sha256 as digest", "problem")
+    digest = hashlib.sha256(b"some text that stands in the archive as it is").hexdigest()
+    refs = []
+    for path, role in zip([*payloads, "gone.zip"], ["deck", "deck", "source", "deck", "deck"]):
+        for kind in ("archive_member", "archive_member_set", "archive", "file"):
+            refs.append((f"{path} {kind}", "candidate", role, (
+                kind, "a.txt", digest, ["*.txt"], [digest]), path, None))
+    refs = spark.createDataFrame(
+        refs, "sample_id string, review_status string, role string, ref struct<kind:string,"
+        "member_name:string,member_sha256:string,selectors:array<string>,"
+        "member_sha256s:array<string>>, path string, expected string")
+    broken = C.unreadable(members)
+    packed = C.readable(refs, broken)
+    found = C.asset_issues(refs, files, broken)
+    every = found.unionByName(C.member_issues(packed, members)).unionByName(
+        C.member_set_issues(packed, members))
+    codes = sorted(tuple(r) for r in every.collect() if not r.sample_id.startswith("gone"))
+    assert codes == sorted(
+        (f"{path} {kind}", f"INVALID_{role}_ARCHIVE") for path, role in
+        (("cut.zip", "DECK"), ("none.zip", "SOURCE"), ("spoiled.zip", "DECK"))
+        for kind in ("archive_member", "archive_member_set"))
+    assert {r.code for r in found.collect() if r.sample_id.startswith("gone")} == {"MISSING_DECK"}
+    assert "Broadcast" not in plan(found)
+
+
 def test_links_are_not_broadcast(spark):
     day = "date'2024-01-01'"
     samples = spark.sql(f"""
