@@ -16,7 +16,8 @@ from weekloom.llm import simhash
 from weekloom.llm.components import components
 from weekloom.llm.repeats import (by_suffixes, keep_new, merged, repeated_windows,
                                   whole_characters, without_repeats)
-from weekloom.llm.suffix_sort import shared, suffixes
+from weekloom.llm.suffix_sort import (repeated_in_blocks, repeated_places, shared, suffix_array,
+                                      suffixes)
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -183,6 +184,63 @@ def test_repeats_of_planted_passages(frame, monkeypatch, crowd, compare):
     assert [got[k] for k in range(len(texts))] == slow_repeats([t.encode() for t in texts], 200)
 
 
+def test_suffix_arrays_of_blocks():
+    """Against plain sorting, packed into one number and not; contents against the external sort."""
+    r = random.Random(2)
+    for _ in range(400):
+        text = [r.randint(0, r.choice([0, 1, 3, 25, 256])) for _ in range(r.randint(0, 40))]
+        text = text[:r.randint(1, 9)] * 9 if r.random() < .3 else text
+        span = r.choice([1, 3, 4, 5, 8, 15, 33])
+        order = sorted(range(len(text)), key=lambda k: text[k:])
+        want = [n > 0 and shared(text, order[n - 1], p) >= span for n, p in enumerate(order)]
+        got, shares = suffix_array(np.array(text, np.uint16), span)
+        assert (got.tolist(), shares.tolist()) == (order, want)
+    for _ in range(100):
+        contents = [bytes(r.choice(b"ab\0\xff") for _ in range(r.randint(0, 40)))
+                    for _ in range(r.randint(1, 6))]
+        contents += contents[:r.randint(0, 2)]
+        span = r.choice([1, 3, 4, 6, 9])
+        got = [f.tolist() for f in repeated_in_blocks(contents, span)]
+        assert got == repeated_places(contents, span)
+    long = np.tile(np.frombuffer(prose(3, 400).encode(), np.uint8), 1 << 21 >> 14).astype(np.uint16)
+    long = np.concatenate([long, long[::-1]])[:(1 << 21) + 1000]
+    order, shares = suffix_array(long, 200)
+    data = long.astype(np.uint8).tobytes()
+    for n in r.sample(range(1, len(order)), 300):
+        a, b = order[n - 1], order[n]
+        assert data[a:] < data[b:]
+        assert shares[n] == (data[a:a + 200] == data[b:b + 200] and max(a, b) + 200 <= len(data))
+
+
+@pytest.mark.parametrize("bound", [{}, {"CROWD": 0}, {"CROWD_BYTES": 900}])
+def test_the_stage_sorts_suffixes(spark, frame, monkeypatch, bound):
+    """Texts lose what is there twice by its bytes, not by the hashes of windows: these are the
+    same for all windows of crowded keys here, and near keys are compared by suffix arrays."""
+    from corpus_pipeline import repeats_removed
+    from weekloom.llm import repeats
+
+    seen, near = [], repeats.near_contents
+    monkeypatch.setattr(repeats, "near_contents", lambda rows, span, compare: (
+        seen.append(compare), near(rows, span, compare))[1])
+    for name, value in bound.items():
+        monkeypatch.setattr(f"weekloom.llm.repeats.{name}", value)
+    clash = lambda data, span: (np.zeros(len(data) - span + 1, np.uint64),) * 2
+    monkeypatch.setattr("weekloom.llm.repeats.window_hashes", clash)
+    r = random.Random(5)
+    passage = prose(910, 12)
+    texts = [prose(920 + k, 3) + passage[r.randint(0, 90):][:r.randint(190, 420)] + prose(940 + k, 2)
+             for k in range(12)]
+    texts += ["a" * 600, "ab" * 200, prose(960, 9)]
+    texts.append(texts[-1][:250] + "é" * 20)
+    docs = frame([(k, t, *[None] * 7) for k, t in enumerate(texts)])
+    got = {x["doc_id"]: x["text"] for x in repeats_removed(spark, docs, None).collect()}
+    assert seen == [repeated_in_blocks]
+    want = slow_repeats([t.encode() for t in texts], 200)
+    assert [hashlib.sha256(got[k].encode()).hexdigest() for k in range(len(texts))] == [
+        w[3] for w in want]
+    assert sum(w[1] for w in want) > 2000
+
+
 def test_repeats_of_odd_rows(odd, empty):
     rows = odd_rows()
     want = Counter(zip([r[0] for r in rows],

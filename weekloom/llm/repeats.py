@@ -2,15 +2,17 @@
 starts anywhere else in the corpus goes.
 
 The corpus is narrowed to where repeats can be; what is left is compared in shards. A shard is
-compared by external induced suffix sorting (``suffix_sort``, with ``compare=by_suffixes``) or by
-hashes of its windows, which gives the same result; the README says why the query takes hashes.
+compared by its suffix array (``compare=repeated_in_blocks``, as in the pipeline), by external
+induced suffix sorting (``compare=by_suffixes``) or by hashes of its windows, which gives the same
+result; the README says why the query takes hashes.
 
 1. Each text is cut into runs of windows (``regions``); a window's twin lies in a run of the same
    key. Keys are counted, and runs whose key is nowhere else are done.
 2. Runs are grouped by key and content. Where a content occurs twice, all its windows repeat.
 3. Of keys with several contents, one run of each content is looked at window by window. Contents
    of a key meet in one task in bounded portions; keys with more than ``CROWD`` contents spread
-   their windows over all tasks and are counted with a combine before the shuffle.
+   their windows over all tasks and are counted with a combine before the shuffle. Where suffixes
+   are compared, windows with a hash that is there twice are then compared byte by byte.
 4. Spans are joined back to their texts.
 
 Identities are 64-bit hashes under a 64-bit key, and 128 bits for windows and texts.
@@ -29,12 +31,15 @@ from pyspark.sql import functions as F
 
 from weekloom.llm.common import documents, schema_after, scratch, stage, through_python
 from weekloom.llm.regions import runs
-from weekloom.llm.suffix_sort import repeated_places
+from weekloom.llm.suffix_sort import repeated_in_blocks, repeated_places
 
 SPAN = 200
 #: contents of one key that a task compares: about 6 MB of text and 100 MB of window hashes
 CROWD = 20_000
 PORTION = 4000
+#: the same in bytes for suffix arrays, which take 60 bytes of memory for each
+CROWD_BYTES = 6 << 20
+PORTION_BYTES = 3 << 19
 RUNS = "array<struct<m:long,r:long,a:int,b:int,inner:boolean>>"
 RUN_TYPE = pa.list_(pa.struct([("m", pa.int64()), ("r", pa.int64()), ("a", pa.int32()),
                                ("b", pa.int32()), ("inner", pa.bool_())]))
@@ -185,13 +190,14 @@ def near_contents(rows: DataFrame, span: int, compare=repeated_windows) -> DataF
              pa.array(columns[2], pa.int32())], ["u", "a", "e"])
 
     def run(batches):
-        held, last = [], None
+        held, last, size = [], None, 0
         for batch in batches:
             for row in batch.to_pylist():
-                if len(held) >= PORTION and row["m"] != last:
+                if (len(held) >= PORTION or size >= PORTION_BYTES) and row["m"] != last:
                     yield flush(held)
-                    held = []
+                    held, size = [], 0
                 last = row["m"]
+                size += len(row["content"])
                 held.append((row["u"], last, row["a"], row["single"], row["content"]))
         if held:
             yield flush(held)
@@ -201,8 +207,8 @@ def near_contents(rows: DataFrame, span: int, compare=repeated_windows) -> DataF
                           "u long, a int, e int")
 
 
-def crowd_contents(rows: DataFrame, span: int) -> DataFrame:
-    """(u, a, e): the same for crowded keys, one row a window."""
+def crowd_twins(rows: DataFrame, span: int) -> DataFrame:
+    """(u, a, single): windows of crowded keys whose hash occurs twice or more."""
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -218,8 +224,42 @@ def crowd_contents(rows: DataFrame, span: int) -> DataFrame:
         "h1 long, h2 long, u long, a int, single boolean"), "windows")
     twice = stage(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
                   .select("h1", "h2"), "twice")
-    return (windows.where("single").join(twice, ["h1", "h2"], "left_semi")
-            .select("u", "a", (F.col("a") + span).alias("e")))
+    return windows.join(twice, ["h1", "h2"], "left_semi").select("u", "a", "single")
+
+
+def crowd_suffixes(rows: DataFrame, span: int) -> DataFrame:
+    """(u, a, single): windows of crowded keys whose bytes occur twice or more. Equal windows have
+    equal hashes, so only those of a hash that is there twice are spread as they are."""
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                data, begin, places = row["content"], row["a"], {}
+                for p in row["places"]:
+                    if 0 <= p - begin <= len(data) - span:
+                        places.setdefault(data[p - begin:p - begin + span], []).append(p)
+                found = list(places.items())
+                for k in range(0, len(found), PORTION):
+                    suffixes, starts = zip(*found[k:k + PORTION])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(suffixes, pa.binary()),
+                         pa.array([row["u"]] * len(starts), pa.int64()),
+                         pa.array(starts, pa.list_(pa.int32())),
+                         pa.array([row["single"]] * len(starts), pa.bool_())],
+                        ["suffix", "u", "places", "single"])
+
+    places = crowd_twins(rows, span).groupBy("u").agg(F.collect_list("a").alias("places"))
+    found = rows.where("crowd").select("u", "a", "single", "content").join(places, "u")
+    suffixes = stage(through_python(
+        found, run, "suffix binary, u long, places array<int>, single boolean"), "suffixes")
+    twice = suffixes.groupBy("suffix").agg(F.sum(F.size("places")).alias("n")).where("n > 1")
+    return suffixes.join(twice, "suffix", "left_semi").select(
+        "u", F.explode("places").alias("a"), "single")
+
+
+def crowd_contents(rows: DataFrame, span: int, compare=repeated_windows) -> DataFrame:
+    """(u, a, e): the same for crowded keys, one row a window."""
+    twins = crowd_twins if compare is repeated_windows else crowd_suffixes
+    return twins(rows, span).where("single").select("u", "a", (F.col("a") + span).alias("e"))
 
 
 def repeated_spans(texts: DataFrame, span: int, compare=repeated_windows) -> DataFrame:
@@ -232,10 +272,13 @@ def repeated_spans(texts: DataFrame, span: int, compare=repeated_windows) -> Dat
     kinds = stage(shared.groupBy("m", "r").agg(
         F.count("*").alias("n"), F.max("inner").alias("inner"),
         F.min(F.struct("u", "a", "b")).alias("first")), "contents")
-    mixed = stage(kinds.groupBy("m").agg(F.count("*").alias("kinds"),
-                                         F.max("inner").alias("any_inner"))
-                  .where("kinds > 1 or any_inner")
-                  .select("m", (F.col("kinds") > CROWD).alias("crowd")), "mixed")
+    crowd = F.col("kinds") > CROWD
+    if compare is not repeated_windows:
+        crowd = crowd | (F.col("bytes") > CROWD_BYTES)
+    mixed = stage(kinds.groupBy("m").agg(
+        F.count("*").alias("kinds"), F.max("inner").alias("any_inner"),
+        F.sum(F.expr(f"first.b - first.a + {span}")).alias("bytes"))
+                  .where("kinds > 1 or any_inner").select("m", crowd.alias("crowd")), "mixed")
     places = stage(kinds.join(mixed, "m").groupBy("first.u").agg(F.collect_list(F.struct(
         "m", "first.a", "first.b", (F.col("n") == 1).alias("single"), "crowd"))
         .alias("places")), "places")
@@ -245,7 +288,7 @@ def repeated_spans(texts: DataFrame, span: int, compare=repeated_windows) -> Dat
     whole = (shared.join(kinds.where("n > 1").select("m", "r"), ["m", "r"], "left_semi")
              .select("u", "a", (F.col("b") + span).alias("e")))
     spans = (whole.unionByName(near_contents(found, span, compare))
-             .unionByName(crowd_contents(found, span)))
+             .unionByName(crowd_contents(found, span, compare)))
     # one row per document before anything is joined; copies of a text have the same spans
     by_row = spans.groupBy("u").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
     found = by_row.join(owners.drop("doc"), "u")
@@ -314,14 +357,15 @@ def without_repeats(docs: DataFrame, span: int = SPAN, characters: bool = False,
         "n_bytes long, n_removed long, removed array<array<int>>, kept binary"))
 
 
-def keep_new(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def keep_new(docs: DataFrame, span: int = SPAN, compare=repeated_in_blocks) -> DataFrame:
     """The rows with repeats taken out of their texts, ``n_chars`` counted anew where there is
-    one. A null text stays null."""
+    one. A null text stays null. Suffixes are sorted, not hashed, if not asked otherwise."""
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(F.col("text").isNull().alias("none"), F.struct(
         *[F.col(f"`{c}`") for c in others]).alias("row")).alias("doc_id"), "text")
     text = F.when(~F.col("doc_id.none"), F.decode("kept", "UTF-8"))
-    found = without_repeats(rows, span, characters=True).select("doc_id.row.*", text.alias("text"))
+    found = without_repeats(rows, span, characters=True, compare=compare).select(
+        "doc_id.row.*", text.alias("text"))
     if "n_chars" in others:
         found = found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(
             docs.schema["n_chars"].dataType))
